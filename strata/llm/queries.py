@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe
+from strata.llm import bpe, linededup
 from strata.llm.common import table
 
 
@@ -16,10 +16,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10).drop("kept")
+
+
+#: Upper and lower A-Z, and white space as the contracts have it, in DuckDB.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS at FROM parts
+), keyed AS (
+  SELECT *, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS key FROM lines
+), hot AS (
+  SELECT key FROM (SELECT DISTINCT rid, key FROM keyed WHERE key <> '') GROUP BY key HAVING count(*) >= 10
+)
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(h.key) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.at) FILTER (h.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.rid
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_bpe": op7_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op7_bpe": op7_bpe}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
