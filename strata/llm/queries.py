@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import bpe, linededup
-from strata.llm.common import table
+from strata.llm import bpe, langid, linededup
+from strata.llm.common import bucket_of, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,6 +45,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op7_bpe": op7_bpe}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    return langid.identify(docs, langid.train(docs.where("not held_out")), keep=("held_out",))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id}
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
