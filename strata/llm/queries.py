@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, langid, linededup
+from strata.llm import bpe, langid, linededup, toxicity
 from strata.llm.common import bucket_of, table
 
 
@@ -50,6 +50,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs.where("not held_out")), keep=("held_out",))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.3, keep=("held_out",))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
