@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, langid, linededup, toxicity
+from strata.llm import bpe, langid, linededup, quality, toxicity
 from strata.llm.common import bucket_of, table
 
 
@@ -41,6 +41,12 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.rid
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 5) == 0)
+    model = quality.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, threshold=0.3, keep=("held_out",))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
@@ -56,6 +62,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.3, keep=("held_out",))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op5_quality": op5_quality, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
