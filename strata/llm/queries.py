@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, langid, linededup, minhash, quality, toxicity
+from strata.llm import ann, bpe, langid, linededup, minhash, quality, toxicity
 from strata.llm.common import bucket_of, table
 
 
@@ -69,6 +69,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3, keep=("held_out",))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
@@ -84,6 +88,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.3, keep=("held_out",))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op5_quality": op5_quality, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL}
