@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, bpe, langid, linededup, minhash, quality, toxicity
+from strata.llm import ann, bpe, langid, linededup, minhash, quality, toxicity, urlfilter
 from strata.llm.common import bucket_of, table
 
 
@@ -63,6 +63,33 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.rid
 """
 
 
+#: The rules of the contract.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES) + " AS t(rule, verdict)")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+OP4_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), bare AS (
+  SELECT page_id, split_part(split_part(coalesce(rest, ''), '?', 1), '#', 1) AS p FROM cut
+), parts AS (
+  SELECT page_id, row_number() OVER () AS row_id, translate(split_part(p, '/', 1), '{UPPER}', '{LOWER}') AS host,
+         CASE WHEN contains(p, '/') THEN substr(p, strpos(p, '/')) ELSE '' END AS path FROM bare
+), rules(rule, host, path, verdict) AS (
+  VALUES {", ".join(f"('{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}', '{v}')" for r, v in URL_RULES)}
+), hits AS (
+  SELECT p.row_id, max(struct_pack(l := length(r.rule), h := length(r.host), rule := r.rule, verdict := r.verdict)) AS best
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.row_id
+)
+SELECT p.page_id, p.host, p.path, h.best.rule AS rule, coalesce(h.best.verdict, 'allow') AS verdict FROM parts p LEFT JOIN hits h USING (row_id)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket_of("doc_id", 5) == 0)
     model = quality.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
@@ -88,6 +115,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, threshold=0.3, keep=("held_out",))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL}
