@@ -1,17 +1,66 @@
-"""A corpus through five stages: toxicity, line dedup, near-dedup, decontamination, BPE."""
+"""A corpus through five stages: toxicity, line dedup, near-dedup, benchmark decontamination, BPE.
+
+Each stage takes all rows its predecessor kept. The first four return the columns of ``documents``; the last one returns
+``doc_id, n_tokens, ids_sha256, decoded_sha256`` as the BPE operator gives them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import bpe, decontam, linededup, minhash, toxicity
+from strata.llm.common import bucket_of, table
+from strata.llm.queries import tokenizer_path
+
+#: Ids of dropped documents that may go to every executor (8 bytes each); with more, the texts are shuffled to them.
+MAX_SHIPPED = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``dropped``."""
+    few = dropped.count() <= MAX_SHIPPED
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labelled documents outside the held-out fold."""
+    model = toxicity.train(docs.where(bucket_of("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
+    judged = toxicity.score(docs, model, threshold=0.3, keep=tuple(docs.columns))
+    return judged.where("predicted = 0").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines in ten or more documents stay in the first of them only; documents that lose all their lines go."""
+    kept = linededup.dedup_lines(docs, min_docs=10, keep="first", carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    left = kept.where("n_dropped < n_lines")
+    text = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*(text.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id stays."""
+    groups = minhash.near_duplicates(docs, shingle=5, percent=80)
+    return without(docs, groups.where("not kept").select("doc_id"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, tokenizer_path(), keep_ids=False)
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("decontamination", drop_leaks), ("bpe", encode)]
 
-#: No stage from the classifier on can be said in SQL; tests hold the stages against brute force.
+#: The classifier and the retrieval can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

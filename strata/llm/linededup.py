@@ -173,10 +173,11 @@ def repeated_keys(docs: DataFrame, words: np.ndarray, min_docs: int, id_col: str
     return grouped.where(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, max_shipped_keys: int = MAX_SHIPPED_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, max_shipped_keys: int = MAX_SHIPPED_KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose key is in at least ``min_docs`` documents: all of them, or (``keep='first'``) all but the first.
 
-    Returns ``id_col, kept, n_lines, n_dropped, kept_sha256`` for every row; ``kept`` is the text that stays.
+    Returns ``id_col, kept, n_lines, n_dropped, kept_sha256`` for every row, with the columns named in ``carry`` after the
+    id; ``kept`` is the text that stays.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
@@ -185,29 +186,30 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col:
     n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
     if n <= max_shipped_keys and size <= MAX_SHIPPED_BYTES:
         first = {bytes(r["key"]): ((r["first"]["id"], r["first"]["line"]) if keep == "first" else None) for r in found.toLocalIterator()}
-        return _drop_known(docs, first, keep, id_col, text_col)
-    return _drop_joined(docs, found, words, keep, id_col, text_col)
+        return _drop_known(docs, first, keep, id_col, text_col, carry)
+    return _drop_joined(docs, found, words, keep, id_col, text_col, carry)
 
 
-def _result_schema(docs: DataFrame, id_col: str) -> str:
-    return f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, kept string, n_lines bigint, n_dropped bigint, kept_sha256 string"
+def _result_schema(docs: DataFrame, lead: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in lead) + ", kept string, n_lines bigint, n_dropped bigint, kept_sha256 string"
 
 
-def _result_batch(id_col: str, ids, rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+def _result_batch(lead: list[str], columns: list, rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([r[0] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())],
-        names=[id_col, "kept", "n_lines", "n_dropped", "kept_sha256"],
+        [*columns, pa.array([r[0] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())],
+        names=[*lead, "kept", "n_lines", "n_dropped", "kept_sha256"],
     )
 
 
-def _drop_known(docs: DataFrame, first: dict, keep: str, id_col: str, text_col: str) -> DataFrame:
+def _drop_known(docs: DataFrame, first: dict, keep: str, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(first)
+    lead = [id_col, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = shipped.value
         for batch in batches:
             rows = []
-            for who, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for who, value in zip(batch.column(0).to_pylist(), batch.column(len(lead)), strict=True):
                 raw = raw_of(value)
                 keys = keys_of(raw)
                 drop = [k for k, key in enumerate(keys) if key in first and (keep == "none" or first[key] != (who, k))]
@@ -215,12 +217,12 @@ def _drop_known(docs: DataFrame, first: dict, keep: str, id_col: str, text_col:
                     gone = set(drop)
                     raw = b"\n".join([x for k, x in enumerate(raw.split(b"\n")) if k not in gone])
                 rows.append((raw, len(keys), len(drop)))
-            yield _result_batch(id_col, batch.column(0), rows)
+            yield _result_batch(lead, batch.columns[: len(lead)], rows)
 
-    return docs.select(id_col, text_col).mapInArrow(run, _result_schema(docs, id_col))
+    return docs.select(*lead, F.col(text_col).alias("__text")).mapInArrow(run, _result_schema(docs, lead))
 
 
-def _drop_joined(docs: DataFrame, found: DataFrame, words: np.ndarray, keep: str, id_col: str, text_col: str) -> DataFrame:
+def _drop_joined(docs: DataFrame, found: DataFrame, words: np.ndarray, keep: str, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     """For more repeated keys than one task should hold: suspects meet them in a join, then each text its lines to drop."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -240,19 +242,23 @@ def _drop_joined(docs: DataFrame, found: DataFrame, words: np.ndarray, keep: str
         lines = lines.where(~(F.col("who").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.line"))))
     drops = lines.groupBy("who", "mark").agg(F.collect_set("at").alias("drops"))
 
+    lead = [id_col, *carry]
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(raw_of(v)) for v in batch.column(1)], pa.binary())], names=["who", "text", "mark"])
+            marks = pa.array([xxhash.xxh3_128_digest(raw_of(v)) for v in batch.column(len(lead))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*(f"c{k}" for k in range(len(lead))), "text", "mark"])
 
-    texts = docs.select(F.col(id_col).alias("who"), F.col(text_col).alias("text")).mapInArrow(mark, f"who {kind}, text string, mark binary")
-    both = texts.alias("t").join(drops.alias("d"), F.col("t.who").eqNullSafe(F.col("d.who")) & (F.col("t.mark") == F.col("d.mark")), "left")
+    fields = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(lead))
+    texts = docs.select(*lead, F.col(text_col).alias("__text")).mapInArrow(mark, f"{fields}, text string, mark binary")
+    both = texts.alias("t").join(drops.alias("d"), F.col("t.c0").eqNullSafe(F.col("d.who")) & (F.col("t.mark") == F.col("d.mark")), "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, drop in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for value, drop in zip(batch.column(len(lead)), batch.column(len(lead) + 1).to_pylist(), strict=True):
                 parts, gone = raw_of(value).split(b"\n"), set(drop or ())
                 rows.append((b"\n".join([x for k, x in enumerate(parts) if k not in gone]), len(parts), len(gone)))
-            yield _result_batch(id_col, batch.column(0), rows)
+            yield _result_batch(lead, batch.columns[: len(lead)], rows)
 
-    return both.select("t.who", "t.text", "d.drops").mapInArrow(apply, _result_schema(docs, id_col))
+    return both.select(*(f"t.c{k}" for k in range(len(lead))), "t.text", "d.drops").mapInArrow(apply, _result_schema(docs, lead))

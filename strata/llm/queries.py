@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, bpe, langid, linededup, minhash, pii, quality, toxicity, urlfilter
+from strata.llm import ann, bpe, decontam, langid, linededup, minhash, pii, quality, toxicity, urlfilter
 from strata.llm.common import bucket_of, table
 
 
@@ -63,6 +63,10 @@ FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.rid
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The rules of the contract.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -119,6 +123,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.detect(table(spark, sf_dir, "documents"), pii.train(spark)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_line_dedup": op2_line_dedup, "op3_decontamination": op3_decontamination, "op4_url_filter": op4_url_filter, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_bpe": op7_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL}

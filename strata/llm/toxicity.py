@@ -189,14 +189,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     """``id_col, score, predicted`` for every row's whole text, with the columns named in ``keep`` after the id."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.votes.voters, model.weights, model.bias))
     lead = list(dict.fromkeys([id_col, *keep]))
+    at = lead.index(text_col) if text_col in lead else len(lead)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in lead) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters, weights, bias = shipped.value
         own = Model(Votes(voters), weights, bias)
         for batch in batches:
-            found = [own.score(t.as_py()) for t in batch.column(len(lead))]
+            found = [own.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(lead)], pa.array(found, pa.float64()), pa.array([int(f >= threshold) for f in found], pa.int32())], names=[*lead, "score", "predicted"])
 
-    # The text comes last, under a name that no kept column has.
-    return docs.select(*lead, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    # A text that isn't kept comes last, under a name that no kept column has.
+    return docs.select(*lead, *[F.col(text_col).alias("__text")] * (at == len(lead))).mapInArrow(run, schema)
