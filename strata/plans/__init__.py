@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, registered by module."""
+
+from strata.plans import code_graph  # noqa: F401
+from strata.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
