@@ -1,8 +1,8 @@
 """BPE encoding and decoding with forced-boundary splitting.
 
 Two neighbouring start symbols that stand side by side in no token of the vocabulary can never be merged across, so the
-place between them is a certain cut. Each pre-token is cut at all such places, its fragments are encoded independently
-(and remembered, as fragments repeat much more than words do), and the ids are concatenated.
+place between them is a certain cut. Each pre-token is cut at all such places, its fragments are encoded independently and
+their ids are concatenated. Pre-tokens repeat, so each task remembers a bounded number of them.
 
 Cases: a null text counts as empty; an empty text has no tokens and decodes to the empty text; repeated rows give repeated
 results; very long words take n log n steps.
@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 
 #: White space as Unicode has it; Python's own \s also takes the separators 0x1C-0x1F.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Pieces of remembered words and fragments; beyond it the memory starts anew.
+#: Words that are remembered with their tokens.
 MEMORY = 150_000
+#: Symbols from which on a fragment's merges are queued, and a rank that no merge has.
+LONG = 100
+NEVER = 1 << 30
 
 
 def byte_letters() -> list[str]:
@@ -71,16 +74,20 @@ class Vocabulary:
 
 
 class _Memory(dict):
-    """A dictionary that computes what it lacks and is emptied when it is full."""
+    """Computes what it lacks. When full it starts anew, but takes over from its former self what is asked for again."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.former = compute, {}
 
     def __missing__(self, key):
         if len(self) >= MEMORY:
+            self.former = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.former.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -93,12 +100,27 @@ class Codec:
         self.token = {i: t for t, i in vocabulary.ids.items()} | {i: t for t, i in vocabulary.special.items()}
         self.split = regex.compile(vocabulary.pattern.replace("\\s", SPACE))
         self.markers = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.fragments = _Memory(self._fragment)
         self.words = _Memory(self._word)
 
-    def _fragment(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
-        """Merges by rank, leftmost first, over a linked list with a queue of the pairs that can be merged."""
-        rank, part = self.v.rank, list(symbols)
+    def _fragment(self, part: list[str]) -> list[int]:
+        """Merges the symbols by rank, leftmost first."""
+        if len(part) > LONG:
+            return self._long_fragment(part)
+        rank, ids = self.v.rank.get, self.v.ids
+        ranks = [rank(p, NEVER) for p in zip(part, part[1:], strict=False)]
+        while ranks and (low := min(ranks)) != NEVER:
+            k = ranks.index(low)
+            part[k : k + 2] = [part[k] + part[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((part[k - 1], part[k]), NEVER)
+            if k < len(ranks):
+                ranks[k] = rank((part[k], part[k + 1]), NEVER)
+        return [ids[p] for p in part]
+
+    def _long_fragment(self, part: list[str]) -> list[int]:
+        """The same over a linked list, with a queue of the pairs that can be merged."""
+        rank = self.v.rank
         after, before = [*range(1, len(part)), -1], [*range(-1, len(part) - 1)]
         queue = [(rank[p], i, p) for i, p in enumerate(zip(part, part[1:], strict=False)) if p in rank]
         heapq.heapify(queue)
@@ -115,7 +137,7 @@ class Codec:
                 if left >= 0 and right >= 0 and (p := (part[left], part[right])) in rank:
                     heapq.heappush(queue, (rank[p], left, p))
         ids = self.v.ids
-        return tuple(ids[p] for p in part if p)
+        return [ids[p] for p in part if p]
 
     def _word(self, word: str) -> tuple[str, str]:
         """A pre-token's ids and tokens, each joined by one space."""
@@ -124,7 +146,7 @@ class Codec:
         inside, out, start = self.v.inside, [], 0
         for k in range(1, len(symbols) + 1):
             if k == len(symbols) or (symbols[k - 1], symbols[k]) not in inside:
-                out += self.fragments[tuple(symbols[start:k])]
+                out += self._fragment(symbols[start:k])
                 start = k
         return " ".join(map(str, out)), " ".join(self.token[i] for i in out)
 
