@@ -6,7 +6,7 @@ Each stage takes all rows its predecessor kept. The first four return the column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import bpe, decontam, linededup, minhash, toxicity
@@ -23,19 +23,26 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and a struct of the rest, so that no column of the documents clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("__"), *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("__row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    return rows.select(*((new[c] if c in new else F.col(c) if c in ("doc_id", "text") else F.col(f"__row.`{c}`")).alias(c) for c in columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on the labelled documents outside the held-out fold."""
     model = toxicity.train(docs.where(bucket_of("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    judged = toxicity.score(docs, model, threshold=0.3, keep=tuple(docs.columns))
-    return judged.where("predicted = 0").select(docs.columns)
+    judged = toxicity.score(packed(docs), model, threshold=0.3, keep=("text", "__row"))
+    return unpacked(judged.where("predicted = 0"), docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in ten or more documents stay in the first of them only; documents that lose all their lines go."""
-    kept = linededup.dedup_lines(docs, min_docs=10, keep="first", carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
-    left = kept.where("n_dropped < n_lines")
-    text = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return left.select(*(text.get(c, F.col(c)).alias(c) for c in docs.columns))
+    kept = linededup.dedup_lines(packed(docs), min_docs=10, keep="first", carry=("__row",))
+    return unpacked(kept.where("n_dropped < n_lines"), docs.columns, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

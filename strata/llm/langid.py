@@ -84,7 +84,8 @@ class Model:
         for n in range(LONGEST + 1):
             total = np.array([totals.get((lang, n), 0) for lang in self.langs], np.float64)
             self.logs[of == n] = np.log((table[of == n] + 0.5) / (total + 1000.0))
-        self.logs -= self.logs.mean(axis=1, keepdims=True)
+        if len(self.langs):
+            self.logs -= self.logs.mean(axis=1, keepdims=True)
 
 
 class Scorer(dict):

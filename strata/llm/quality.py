@@ -5,8 +5,8 @@ bounded labelled sample give paths; each path is a rule, a conjunction of thresh
 rules, and the few that keep a weight are compiled into one Spark column expression.
 
 Cases: null and empty texts have all statistics zero and get the score of such a text; repeated rows give repeated results;
-several labels of one id count as good if any is; null labels are not learnt from; without labels, or with one class only,
-every score is the share of good labels (0.5 without any).
+several labels of one id count as good if any is; null labels are not learnt from; without labels, with one class only, or with
+too few rows for a split, every score is the share of good labels (0.5 without any).
 """
 
 from __future__ import annotations
@@ -176,10 +176,10 @@ class Model:
 
 
 def train_on(x: np.ndarray, y: np.ndarray) -> Model:
-    if not len(y) or len(set(y.tolist())) < 2:
+    rules = tree_rules(x, y) if len(set(y.tolist())) == 2 else []
+    if not rules:
         share = float(y.mean()) if len(y) else 0.5
         return Model([], [], float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    rules = tree_rules(x, y)
     r = np.array([holds(k, x) for k in rules], np.float64).T
     w, b = lasso(r, y)
     kept = [k for k in np.argsort(-np.abs(w))[:MAX_RULES] if abs(w[k]) > 1e-3]
