@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -83,38 +84,51 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def found(text: Column, pattern: str, kind: str, context: bool) -> Column:
-    """Leftmost matches that don't overlap, with code point offsets.
+def likely(kind: str, match: Column) -> Column:
+    """What a proposal must have to be worth a score; keeps tables of short numbers out."""
+    if kind in ("card", "phone"):
+        return F.length(only_digits(match)).between(*((13, 19) if kind == "card" else (9, 15)))
+    return F.lit(True)
+
+
+def found(text: Column, pattern: str, kind: str, context: bool, test: Callable[[str, Column], Column]) -> Column:
+    """Leftmost matches that don't overlap and pass ``test``, with code point offsets.
 
-    What lies between the matches comes from a split by the same pattern; offsets are running sums of lengths.
+    What lies between the matches comes from a split by the same pattern; offsets are running sums of lengths. Only what
+    passes is gathered, so that a text of many numbers takes linear time.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = "array<struct<kind:string,start:int,end:int,match:string,before:string,after:string>>"
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,match:string,before:string,after:string>>")
+
+    def walk(cut: Column) -> Column:
+        matches, pieces = cut["matches"], cut["pieces"]
+
+        def step(acc: Column, k: Column) -> Column:
+            match = F.element_at(matches, k + 1)
+            piece = F.element_at(pieces, k + 1)
+            start = acc["at"] + F.length(piece)
+            end = start + F.length(match)
+            before = F.right(piece, F.lit(AROUND)) if context else F.lit("")
+            after = F.left(F.element_at(pieces, k + 2), F.lit(1)) if context else F.lit("")
+            one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), match.alias("match"), before.alias("before"), after.alias("after"))
+            return F.struct(end.alias("at"), F.when(test(kind, match), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    def step(acc: Column, k: Column) -> Column:
-        match, piece = F.element_at(matches, k + 1), F.element_at(pieces, k + 1)
-        start = acc["at"] + F.length(piece)
-        end = start + F.length(match)
-        before = F.right(piece, F.lit(AROUND)) if context else F.lit("")
-        after = F.left(F.element_at(pieces, k + 2), F.lit(1)) if context else F.lit("")
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), match.alias("match"), before.alias("before"), after.alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return F.when(F.size(matches) > 0, spans).otherwise(empty)
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(empty))
+    # A lambda's variable is computed once; a plain expression would be computed anew in each step.
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
+    return F.element_at(F.transform(F.array(cut), walk), 1)
 
 
 def base_spans(text: Column) -> Column:
     """All base spans that pass their test."""
     may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    passing = lambda k: F.filter(F.when(may[k], found(text, BASE[k], k, False)).otherwise(F.array()), lambda s: valid(k, s["match"]))
+    passing = lambda k: F.when(may[k], found(text, BASE[k], k, False, valid)).otherwise(F.array())
     return F.concat(*map(passing, KINDS))
 
 
 def proposals(text: Column) -> Column:
-    return F.concat(*(F.when(text.rlike(MORE[k][0]), found(text, MORE[k][1], k, True)).otherwise(F.array()) for k in KINDS))
+    return F.concat(*(F.when(text.rlike(MORE[k][0]), found(text, MORE[k][1], k, True, likely)).otherwise(F.array()) for k in KINDS))
 
 
 def count_of(text: Column, members: str) -> Column:
@@ -230,7 +244,7 @@ def train(spark: SparkSession, rows: list[dict] | None = None, precision: float
     """Fit on labelled lines (``text, kind, label``; by default those of :func:`examples`), half of them for thresholds."""
     rows = examples() if rows is None else rows
     lines = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,kind:string,label:int>>")).alias("r")).select("r.*")
-    spans = lines.select("kind", "label", F.posexplode(proposals(F.col("text"))).alias("nth", "s")).where("s.kind = kind")
+    spans = lines.select("kind", "label", F.posexplode(proposals(F.col("text"))).alias("nth", "s")).where("s.kind = kind or label = 0")
     table = spans.select("label", F.array(*features(F.col("s"))).alias("f")).collect()  # as many as the examples have
     x, y = np.array([r["f"] for r in table], np.float64), np.array([r["label"] for r in table], np.float64)
     half = np.arange(len(y)) // 2 % 2 == 0
