@@ -613,7 +613,7 @@ def pt5(spark: SparkSession, d: str) -> DataFrame:
     return patch.rollback_plan(m, b.after(spark, d).select(F.col("path").alias("file"), "hash"))
 
 
-@query("pt2_apply_in_order", with_sql("file", "SELECT path AS file, sha256(CASE WHEN doc_id % 2 = 0 THEN replace(content, substr(content, 1, 12), 'A') ELSE content END) AS sha FROM file WHERE doc_id % 2 = 0 AND length(content) > 400"))
+@query("pt2_apply_in_order", with_sql("file", "SELECT path AS file, sha256(CASE WHEN contains(substr(content, 2), substr(content, 1, 12)) THEN content ELSE 'A' || substr(content, 13) END) AS sha FROM file WHERE doc_id % 2 = 0 AND length(content) > 400"))
 def pt2_order(spark: SparkSession, d: str) -> DataFrame:
     f = b.files(spark, d).select(F.col("path").alias("file"), "content", "doc_id")
     edits = f.where("doc_id % 2 = 0 AND length(content) > 400").select("file", F.lit(1).alias("ord"), F.substring("content", 1, 12).alias("old"), F.lit("A").alias("new"))
