@@ -173,6 +173,37 @@ def test_paraphrases_and_odd_rows(spark, odd):
     assert decontam.leaks(docs, bench.limit(0)).collect() == [] and decontam.leaks(docs.limit(0), bench).collect() == []
 
 
+def test_candidates_are_those_of_the_cosine(spark, documents):
+    """Every passage and item that the cosine and the cover let pass, also where an item's rarest words are replaced."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    index = decontam.build_index(documents, [tuple(r) for r in bench.orderBy("item_id").collect()], bench, "item_id", "text", "text")
+    rows = [(k, r.text) for k, r in enumerate(documents.orderBy("doc_id").limit(60).collect())]
+    for k, (_, words) in enumerate(index.words):
+        rare = sorted(set(words), key=lambda w: (-index.idf[index.place[w]], w))
+        for share in (0.2, 0.3, 0.38):
+            gone, left = set(), int(share * len(words))
+            for w in rare:
+                if words.count(w) <= left:
+                    left -= words.count(w)
+                    gone.add(w)
+            host = decontam.words_of(rows[k % 60][1])
+            rows.append((len(rows), b" ".join([*host[:150], *(b"zzz" if w in gone else w for w in words), *host[150:300]]).decode()))
+    true = set()
+    for d, text in rows:
+        codes = index.codes_of(text)
+        for at in decontam.passages(codes).tolist():
+            place, value = decontam.tfidf(codes[at : at + decontam.WINDOW], index.idf)
+            v = value @ index.basis[place]
+            for k in np.flatnonzero(index.latent @ v / max(1e-9, np.linalg.norm(v)) >= decontam.COSINE):
+                own = index.codes[k].tolist()
+                both, answer = decontam.common(own, codes[max(0, at - len(own)) : at + decontam.WINDOW + len(own)].tolist())
+                if both / len(own) >= decontam.COVER and answer / min(decontam.ANSWER_WORDS, len(own)) >= decontam.ANSWER_COVER:
+                    true.add((d, index.words[k][0]))
+    searcher = decontam.Searcher(index)
+    assert {(d, leak[0]) for d, text in rows for leak in searcher.leaks(text)} == true
+    assert len({d for d, _ in true if d >= 60}) >= 60
+
+
 def test_common_subsequence():
     rng = random.Random(1)
 
