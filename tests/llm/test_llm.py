@@ -197,13 +197,24 @@ def test_candidates_are_those_of_the_cosine(spark, documents):
             for k in np.flatnonzero(index.latent @ v / max(1e-9, np.linalg.norm(v)) >= decontam.COSINE):
                 own = index.codes[k].tolist()
                 both, answer = decontam.common(own, codes[max(0, at - len(own)) : at + decontam.WINDOW + len(own)].tolist())
-                if both / len(own) >= decontam.COVER and answer / min(decontam.ANSWER_WORDS, len(own)) >= decontam.ANSWER_COVER:
+                cover, last = both / len(own), answer / min(decontam.ANSWER_WORDS, len(own))
+                if cover >= decontam.FULL_COVER or cover >= decontam.COVER and last >= decontam.ANSWER_COVER:
                     true.add((d, index.words[k][0]))
     searcher = decontam.Searcher(index)
     assert {(d, leak[0]) for d, text in rows for leak in searcher.leaks(text)} == true
     assert len({d for d, _ in true if d >= 60}) >= 60
 
 
+def test_copies_cut_at_either_end(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards brew a strong potion near old mills beside this quiet river"
+    w = item.split()
+    cuts = {1: w[:-4], 2: w[:-6], 3: w[4:], 4: w[6:], 5: w[:-7], 6: w[:-9], 7: w[9:], 8: w[:-11], 9: w[11:]}
+    docs = spark.createDataFrame([(k, "Some words ahead: " + " ".join(c) + ". Others follow!") for k, c in cuts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    # 23 words: without 9 of them the cover is 0.61, which takes the answer; without 11 it is too little for any.
+    assert len(w) == 23 and {r.doc_id for r in decontam.leaks(docs, bench).collect()} == {1, 2, 3, 4, 5, 7}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
 
