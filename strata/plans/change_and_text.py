@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import text as t
@@ -376,8 +376,16 @@ b AS (SELECT doc_id, arg_max(lang, struct_pack(s := score, k := -list_position([
 SELECT CASE WHEN n < 25 OR top < 0.02 OR (best <> 'en' AND top - mine < 0.02) THEN 'undecided' WHEN best = 'en' THEN 'en' ELSE best END AS got, count(*) AS n FROM b GROUP BY 1""",
 )
 def st12(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.table(spark, d, "documents").where("lang in ('en', 'es', 'de')")
-    v = t.check_latin(F.substring("text", 1, 4000), "en")
+    return _judged(b.table(spark, d, "documents").where("lang in ('en', 'es', 'de')"), F.substring("text", 1, 4000))
+
+
+@query("st12_ag22_language_check_all")
+def st12_all(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(b.table(spark, d, "documents"), F.coalesce("text", F.lit("")))
+
+
+def _judged(docs: DataFrame, text: Column) -> DataFrame:
+    v = t.check_latin(text, "en")
     got = F.when(~F.col("v.decided"), "undecided").when(F.col("v.ok"), "en").otherwise(F.coalesce("v.looks_like", F.lit("unknown")))
     return docs.select(v.alias("v")).groupBy(got.alias("got")).agg(F.count("*").alias("n"))
 
@@ -388,6 +396,12 @@ def st13(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", t.occurrences(F.col("text"), F.col("p")).cast("long").alias("n"))
 
 
+@query("st13_occurrences_all")
+def st13_all(spark: SparkSession, d: str) -> DataFrame:
+    x = b.table(spark, d, "documents").crossJoin(b.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 3).alias("p")))
+    return x.select("doc_id", "item_id", t.occurrences(F.col("text"), F.col("p")).cast("long").alias("n"))
+
+
 @query("st14_st15_lines", "SELECT doc_id, length(substr(text, 1, 99)) - length(replace(substr(text, 1, 99), chr(10), '')) + 1 AS line, CASE WHEN doc_id % 2 = 0 AND contains(text, chr(10)) THEN 'crlf' ELSE 'lf' END AS eol FROM documents")
 def st14(spark: SparkSession, d: str) -> DataFrame:
     x = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
