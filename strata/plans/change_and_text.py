@@ -137,9 +137,25 @@ SELECT doc_id, path FROM (SELECT DISTINCT doc_id, unnest(list_filter([regexp_ext
     ),
 )
 def gr12(spark: SparkSession, d: str) -> DataFrame:
+    return _from_diff(b.files(spark, d).where("doc_id % 20 = 0"))
+
+
+@query(
+    "gr12_files_from_diff_all",
+    with_sql(
+        "file",
+        """, u AS (SELECT doc_id, list_value('--- a/' || path, '+++ b/' || path, '@@ -1 +1 @@', '+x', '+++ b//etc/passwd', '--- /dev/null', '+++ b/../up.txt', '+++ b/new' || doc_id || '.txt') AS ls FROM file)
+SELECT doc_id, path FROM (SELECT DISTINCT doc_id, unnest(list_filter([regexp_extract(l, '^[+-]{3} [ab]/(.+)$', 1) for l in ls], lambda x: x <> '')) AS path FROM u) WHERE NOT starts_with(path, '/') AND NOT contains(path, '..')""",
+    ),
+)
+def gr12_all(spark: SparkSession, d: str) -> DataFrame:
+    return _from_diff(b.files(spark, d))
+
+
+def _from_diff(files: DataFrame) -> DataFrame:
     p = F.col("path")
     text = F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\n@@ -1 +1 @@\n+x\n+++ b//etc/passwd\n--- /dev/null\n+++ b/../up.txt\n+++ b/new"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return b.files(spark, d).where("doc_id % 20 = 0").select("doc_id", F.explode(delta.files_from_diff(text)).alias("path"))
+    return files.select("doc_id", F.explode(delta.files_from_diff(text)).alias("path"))
 
 
 @query("gr15_settle_groups", with_sql("file file2", "SELECT f.lang AS stage, 'g' || (f.doc_id % 4) AS title, count(*) AS n_files, CAST(min(f.doc_id % 4) AS INT) AS group_ord FROM file f JOIN file2 z ON z.path = f.path GROUP BY 1, 2"))
@@ -476,8 +492,17 @@ def st30(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st31_markdown_links", with_sql("file", "SELECT doc_id, unnest(list_value('a' || doc_id || '.md', lang || '/b.md')) AS link FROM file WHERE doc_id % 3 = 0"))
 def st31(spark: SparkSession, d: str) -> DataFrame:
+    return _links(b.files(spark, d).where("doc_id % 3 = 0"))
+
+
+@query("st31_markdown_links_all", with_sql("file", "SELECT doc_id, unnest(list_value('a' || doc_id || '.md', lang || '/b.md')) AS link FROM file"))
+def st31_all(spark: SparkSession, d: str) -> DataFrame:
+    return _links(b.files(spark, d))
+
+
+def _links(files: DataFrame) -> DataFrame:
     x = F.concat(F.lit("see [x](a"), F.col("doc_id").cast("string"), F.lit(".md) and [y]("), "lang", F.lit("/b.md) or [z](c.md#top) [w](d.txt)"))
-    return b.files(spark, d).where("doc_id % 3 = 0").select("doc_id", F.explode(t.markdown_links(x)).alias("link"))
+    return files.select("doc_id", F.explode(t.markdown_links(x)).alias("link"))
 
 
 # --- facts, search -------------------------------------------------------------------------------------------------------
@@ -582,7 +607,18 @@ def tk8(spark: SparkSession, d: str) -> DataFrame:
     "WITH e AS (SELECT user_id AS plan, event_id AS pos, event_id * 7 % 40 AS idx FROM events WHERE event_id < 900), p AS (SELECT plan, pos, CASE WHEN count(*) OVER (PARTITION BY plan, idx) > 1 THEN 'duplicate' WHEN idx <= lag(idx) OVER (PARTITION BY plan ORDER BY pos) THEN 'not rising' END AS problem FROM e) SELECT * FROM p WHERE problem IS NOT NULL",
 )
 def w8(spark: SparkSession, d: str) -> DataFrame:
-    e = b.table(spark, d, "events").where("event_id < 900")
+    return _problems(b.table(spark, d, "events").where("event_id < 900"))
+
+
+@query(
+    "w8_index_problems_all",
+    "WITH e AS (SELECT user_id AS plan, event_id AS pos, event_id * 7 % 40 AS idx FROM events), p AS (SELECT plan, pos, CASE WHEN count(*) OVER (PARTITION BY plan, idx) > 1 THEN 'duplicate' WHEN idx <= lag(idx) OVER (PARTITION BY plan ORDER BY pos) THEN 'not rising' END AS problem FROM e) SELECT * FROM p WHERE problem IS NOT NULL",
+)
+def w8_all(spark: SparkSession, d: str) -> DataFrame:
+    return _problems(b.table(spark, d, "events"))
+
+
+def _problems(e: DataFrame) -> DataFrame:
     return patch.index_problems(e.select(F.col("user_id").alias("plan"), F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 40).alias("idx")))
 
 
@@ -629,8 +665,17 @@ def pt5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pt2_apply_in_order", with_sql("file", "SELECT path AS file, sha256(CASE WHEN contains(substr(content, 2), substr(content, 1, 12)) THEN content ELSE 'A' || substr(content, 13) END) AS sha FROM file WHERE doc_id % 2 = 0 AND length(content) > 400"))
 def pt2_order(spark: SparkSession, d: str) -> DataFrame:
-    f = b.files(spark, d).select(F.col("path").alias("file"), "content", "doc_id")
-    edits = f.where("doc_id % 2 = 0 AND length(content) > 400").select("file", F.lit(1).alias("ord"), F.substring("content", 1, 12).alias("old"), F.lit("A").alias("new"))
+    return _edited(b.files(spark, d), "doc_id % 2 = 0 AND length(content) > 400")
+
+
+@query("pt2_apply_in_order_all", with_sql("file", "SELECT path AS file, sha256(CASE WHEN contains(substr(content, 2), substr(content, 1, 12)) THEN content ELSE 'A' || substr(content, 13) END) AS sha FROM file"))
+def pt2_order_all(spark: SparkSession, d: str) -> DataFrame:
+    return _edited(b.files(spark, d), "true")
+
+
+def _edited(files: DataFrame, chosen: str) -> DataFrame:
+    f = files.select(F.col("path").alias("file"), "content", "doc_id")
+    edits = f.where(chosen).select("file", F.lit(1).alias("ord"), F.substring("content", 1, 12).alias("old"), F.lit("A").alias("new"))
     return patch.apply_in_order(edits, f.select("file", "content")).select("file", F.sha2("content", 256).alias("sha"))
 
 

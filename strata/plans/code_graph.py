@@ -133,8 +133,17 @@ def ag3(spark: SparkSession, d: str) -> DataFrame:
 @query("ag5_scan_coverage", """WITH u AS (SELECT source || '/' || doc_id AS file, CASE WHEN n_chars > 5000 THEN 'unreadable' WHEN lang = 'fr' THEN 'unparsable' ELSE 'partial' END AS reason FROM documents WHERE doc_id % 5 = 0)
 SELECT reason, count(*) AS n, string_agg(file, '|' ORDER BY file) AS files FROM u GROUP BY 1""")
 def ag5(spark: SparkSession, d: str) -> DataFrame:
-    t = b.table(spark, d, "documents").where("doc_id % 5 = 0")
-    rows = t.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.when(F.col("n_chars") > 5000, "unreadable").when(F.col("lang") == "fr", "unparsable").otherwise("partial").alias("reason"))
+    return _coverage(b.table(spark, d, "documents").where("doc_id % 5 = 0"))
+
+
+@query("ag5_scan_coverage_all", """WITH u AS (SELECT source || '/' || doc_id AS file, CASE WHEN n_chars > 5000 THEN 'unreadable' WHEN lang = 'fr' THEN 'unparsable' ELSE 'partial' END AS reason FROM documents)
+SELECT reason, count(*) AS n, string_agg(file, '|' ORDER BY file) AS files FROM u GROUP BY 1""")
+def ag5_all(spark: SparkSession, d: str) -> DataFrame:
+    return _coverage(b.table(spark, d, "documents"))
+
+
+def _coverage(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.when(F.col("n_chars") > 5000, "unreadable").when(F.col("lang") == "fr", "unparsable").otherwise("partial").alias("reason"))
     return graph.scan_coverage(rows).select("reason", "n", *joined("files"))
 
 

@@ -48,3 +48,20 @@ def test_language_of_every_whole_text(spark, tables):
     got = {r.got: r.n for r in QUERIES["st12_ag22_language_check_all"](spark, tables).collect()}
     assert got == {g: want.count(g) for g in want} and sum(got.values()) == len(TEXTS)
     assert judge(TEXTS[9]) == "de" != judge(TEXTS[9][:4000])
+
+
+def test_no_row_is_left_out(spark, tables):
+    ids = set(TEXTS)
+    assert {r.doc_id for r in QUERIES["gr12_files_from_diff_all"](spark, tables).collect()} == ids
+    assert {r.doc_id for r in QUERIES["st31_markdown_links_all"](spark, tables).collect()} == ids
+    assert sum(r.n for r in QUERIES["ag5_scan_coverage_all"](spark, tables).collect()) == len(ids)
+    assert QUERIES["pt2_apply_in_order_all"](spark, tables).count() == len(ids)
+    idx = {k: k * 7 % 40 for k in range(880, 1000)}
+    want, last, seen = {}, {}, [(k % 3, i) for k, i in idx.items()]
+    for k, i in idx.items():
+        if seen.count((k % 3, i)) > 1:
+            want[k] = "duplicate"
+        elif i <= last.get(k % 3, -1):
+            want[k] = "not rising"
+        last[k % 3] = i
+    assert {r.pos: r.problem for r in QUERIES["w8_index_problems_all"](spark, tables).collect()} == want and max(want) >= 900
