@@ -13,14 +13,14 @@ from strata.llm import bpe, decontam, linededup, minhash, toxicity
 from strata.llm.common import bucket_of, table
 from strata.llm.queries import tokenizer_path
 
-#: Ids of dropped documents that may go to every executor (8 bytes each); with more, the texts are shuffled to them.
+#: Ids of dropped documents that may go to every executor (8 bytes each, or 16 of a digest); with more, the texts are shuffled to them.
 MAX_SHIPPED = 500_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``dropped``."""
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents whose key is not among ``dropped``."""
     few = dropped.count() <= MAX_SHIPPED
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -48,12 +48,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id stays."""
     groups = minhash.near_duplicates(docs, shingle=5, percent=80)
-    return without(docs, groups.where("not kept").select("doc_id"))
+    return without(docs, groups.where("not kept").select("doc_id")).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    """Documents that hold a benchmark passage go, told apart by id and text, as ids may repeat or be null."""
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit(""))))))
+    found = decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
+    return without(keyed, found.select("__key").distinct(), "__key").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

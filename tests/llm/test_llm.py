@@ -215,6 +215,13 @@ def test_copies_cut_at_either_end(spark):
     assert len(w) == 23 and {r.doc_id for r in decontam.leaks(docs, bench).collect()} == {1, 2, 3, 4, 5, 7}
 
 
+def test_texts_of_one_item_and_items_without_id(spark):
+    one, two, three = ("red apples grow on the old tree behind our house", "blue rivers run past many quiet towns in spring", "seven green birds sing above that long stone wall")
+    bench = spark.createDataFrame([(1, one), (1, two), (None, three)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, three), (4, one + ". " + two)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()) == [(1, 1), (2, 1), (3, None), (4, 1)]
+
+
 def test_common_subsequence():
     rng = random.Random(1)
 

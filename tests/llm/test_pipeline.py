@@ -55,6 +55,13 @@ def test_leaks_go(spark, docs):
     assert out.columns == COLUMNS and ids(out) == ids(docs)
 
 
+def test_leaks_with_repeated_and_null_ids_go_alone(spark, docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    more = [(500, "before " + item + " after", "en", "s", 1, 0.5, "k"), (500, "a clean text", "en", "s", 1, 0.5, "k"), (None, item, "en", "s", 1, 0.5, "k"), (None, "clean too", "en", "s", 1, 0.5, "k")]
+    out = p.drop_leaks(spark, spark.createDataFrame(more, docs.schema), SF)
+    assert out.columns == COLUMNS and {(r.doc_id, r.text) for r in out.collect()} == {(500, "a clean text"), (None, "clean too")}
+
+
 def test_encoding(spark, docs):
     codec = bpe.Codec(bpe.Vocabulary.load(queries.tokenizer_path()))
     texts = {r.doc_id: r.text for r in docs.collect()}
