@@ -68,6 +68,19 @@ def path_problem(path: Column) -> Column:
     )
 
 
+def is_outside(path: Column) -> Column:
+    """Whether the path's ``..`` segments climb above its root at any point."""
+    depth = F.aggregate(
+        F.filter(F.split(path, "/", -1), lambda p: (p != "") & (p != ".")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.when(p == "..", -1).otherwise(1)).alias("at"),
+            F.least(acc["least"], acc["at"] + F.when(p == "..", -1).otherwise(1)).alias("least"),
+        ),
+    )
+    return depth["least"] < 0
+
+
 def is_gateway_page(body: Column) -> Column:
     return F.lower(F.substring(F.ltrim(body), 1, 200)).rlike(r"^(<!doctype|<html|<\?xml)")
 

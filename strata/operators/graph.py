@@ -111,4 +111,9 @@ def self_attributes(rows: DataFrame) -> DataFrame:
 
 
 def scan_coverage(unparsed: DataFrame) -> DataFrame:
-    return unparsed.groupBy("reason").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("file")).alias("files"))
+    """``reason, file, n``: every file that was not fully read, with the number of files of its reason.
+
+    Counts come from a partial aggregate (a row for each reason), so no reason's files meet in one row or one task.
+    """
+    sizes = unparsed.groupBy("reason").agg(F.count("*").alias("n"))
+    return unparsed.join(F.broadcast(sizes), "reason").select("reason", "file", "n")

@@ -71,7 +71,7 @@ def after(spark: SparkSession, d: str) -> DataFrame:
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:
     """``job, ts, seq, type, value``: the events of a user are the log of a job."""
-    return table(spark, d, "events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("type"), "value")
+    return table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), "value")
 
 
 _HINT_SQL = " ".join(f"WHEN {k} THEN '{h}'" for k, h in HINTS.items())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from strata.plans.bindings import with_sql
 from strata.plans.registry import joined, query
 from strata.streaming import jobs
 
+#: Parts that one query of ``st13`` counts in every text.
+MOST_PARTS = 20_000
+
 # --- change between snapshots -------------------------------------------------------------------------------------------
 
 
@@ -130,25 +135,13 @@ def j22(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "gr12_files_from_diff",
-    with_sql(
-        "file",
-        """, u AS (SELECT doc_id, list_value('--- a/' || path, '+++ b/' || path, '@@ -1 +1 @@', '+x', '+++ b//etc/passwd', '--- /dev/null', '+++ b/../up.txt', '+++ b/new' || doc_id || '.txt') AS ls FROM file WHERE doc_id % 20 = 0)
-SELECT doc_id, path FROM (SELECT DISTINCT doc_id, unnest(list_filter([regexp_extract(l, '^[+-]{3} [ab]/(.+)$', 1) for l in ls], lambda x: x <> '')) AS path FROM u) WHERE NOT starts_with(path, '/') AND NOT contains(path, '..')""",
-    ),
-)
-def gr12(spark: SparkSession, d: str) -> DataFrame:
-    return _from_diff(b.files(spark, d).where("doc_id % 20 = 0"))
-
-
-@query(
-    "gr12_files_from_diff_all",
     with_sql(
         "file",
         """, u AS (SELECT doc_id, list_value('--- a/' || path, '+++ b/' || path, '@@ -1 +1 @@', '+x', '+++ b//etc/passwd', '--- /dev/null', '+++ b/../up.txt', '+++ b/new' || doc_id || '.txt') AS ls FROM file)
 SELECT doc_id, path FROM (SELECT DISTINCT doc_id, unnest(list_filter([regexp_extract(l, '^[+-]{3} [ab]/(.+)$', 1) for l in ls], lambda x: x <> '')) AS path FROM u) WHERE NOT starts_with(path, '/') AND NOT contains(path, '..')""",
     ),
 )
-def gr12_all(spark: SparkSession, d: str) -> DataFrame:
+def gr12(spark: SparkSession, d: str) -> DataFrame:
     return _from_diff(b.files(spark, d))
 
 
@@ -331,9 +324,9 @@ def st2(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "documents").select("doc_id", t.first_sentence(F.col("text")).alias("sentence"))
 
 
-@query("st3_slugify", "SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("st3_slugify", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def st3(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "documents").select("doc_id", t.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return b.table(spark, d, "documents").select("doc_id", t.slugify(F.col("text")).alias("slug"))
 
 
 @query("st4_cap_list", "SELECT doc_id, CASE WHEN len(w) > 5 THEN array_to_string(w[1:5], ', ') || ' (+' || (len(w) - 5) || ' more)' ELSE array_to_string(w, ', ') END AS shown FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
@@ -383,20 +376,17 @@ def _weights() -> str:
     return ", ".join(f"('{lang}', '{w}', {0.35 if w in t.AMBIGUOUS else 1.0})" for lang, own in t.FUNCTION_WORDS.items() for w in own)
 
 
+#: Texts of fewer than 25 Latin words, also of none, are undecided; so are null ones.
 @query(
     "st12_ag22_language_check",
-    f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 4000)), '[a-zà-öø-ÿ]+')) AS w FROM documents WHERE lang IN ('en', 'es', 'de')),
-n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1), wt(lang, w, weight) AS (VALUES {_weights()}),
-s AS (SELECT n.doc_id, l.lang, coalesce(sum(weight), 0) / any_value(n.n) AS score, any_value(n.n) AS n FROM n CROSS JOIN (SELECT DISTINCT lang FROM wt) l LEFT JOIN (SELECT words.doc_id, wt.lang, weight FROM words JOIN wt USING (w)) h ON h.doc_id = n.doc_id AND h.lang = l.lang GROUP BY 1, 2),
-b AS (SELECT doc_id, arg_max(lang, struct_pack(s := score, k := -list_position(['en', 'es', 'pt', 'de'], lang))) AS best, max(score) AS top, max(score) FILTER (lang = 'en') AS mine, any_value(n) AS n FROM s GROUP BY 1)
-SELECT CASE WHEN n < 25 OR top < 0.02 OR (best <> 'en' AND top - mine < 0.02) THEN 'undecided' WHEN best = 'en' THEN 'en' ELSE best END AS got, count(*) AS n FROM b GROUP BY 1""",
+    f"""WITH t AS (SELECT row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT rid, regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+') AS ws FROM t), wt(lang, w, weight) AS (VALUES {_weights()}),
+hit AS (SELECT rid, lang, sum(weight) AS s FROM (SELECT rid, unnest(ws) AS w FROM cut) JOIN wt USING (w) GROUP BY ALL),
+s AS (SELECT rid, l.lang, coalesce(h.s, 0) / greatest(len(ws), 1) AS score, len(ws) AS n FROM cut CROSS JOIN (SELECT DISTINCT lang FROM wt) l LEFT JOIN hit h USING (rid, lang)),
+b AS (SELECT rid, arg_max(lang, struct_pack(s := score, k := -list_position(['en', 'es', 'pt', 'de'], lang))) AS best, max(score) AS top, max(score) FILTER (lang = 'en') AS mine, any_value(n) AS n FROM s GROUP BY 1)
+SELECT CASE WHEN n < 25 OR top < 0.02 OR (best <> 'en' AND top - mine < 0.02) THEN 'undecided' ELSE best END AS got, count(*) AS n FROM b GROUP BY 1""",
 )
 def st12(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(b.table(spark, d, "documents").where("lang in ('en', 'es', 'de')"), F.substring("text", 1, 4000))
-
-
-@query("st12_ag22_language_check_all")
-def st12_all(spark: SparkSession, d: str) -> DataFrame:
     return _judged(b.table(spark, d, "documents"), F.coalesce("text", F.lit("")))
 
 
@@ -406,16 +396,22 @@ def _judged(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(v.alias("v")).groupBy(got.alias("got")).agg(F.count("*").alias("n"))
 
 
-@query("st13_occurrences", "WITH x AS (SELECT d.doc_id, d.text AS t, substr(b.text, 1, 3) AS p FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE length(d.text) < 3000) SELECT doc_id, len([i for i in range(1, length(t) - length(p) + 2) if substr(t, i, length(p)) = p]) AS n FROM x")
+@query(
+    "st13_occurrences",
+    """WITH c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, cs, unnest(range(1, len(cs) - 1)) AS k FROM c),
+n AS (SELECT doc_id, cs[k] || cs[k + 1] || cs[k + 2] AS part, count(*) AS n FROM p GROUP BY ALL),
+items AS (SELECT item_id, substr(text, 1, 3) AS part FROM benchmark)
+SELECT d.doc_id, i.item_id, coalesce(n.n, 0) AS n FROM documents d CROSS JOIN items i LEFT JOIN n ON n.doc_id = d.doc_id AND n.part = i.part""",
+)
 def st13(spark: SparkSession, d: str) -> DataFrame:
-    x = b.table(spark, d, "documents").where("length(text) < 3000").join(b.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 3).alias("p")), F.col("doc_id") % 40 == F.col("item_id"))
-    return x.select("doc_id", t.occurrences(F.col("text"), F.col("p")).cast("long").alias("n"))
-
-
-@query("st13_occurrences_all")
-def st13_all(spark: SparkSession, d: str) -> DataFrame:
-    x = b.table(spark, d, "documents").crossJoin(b.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 3).alias("p")))
-    return x.select("doc_id", "item_id", t.occurrences(F.col("text"), F.col("p")).cast("long").alias("n"))
+    """Every item's first three characters in every whole text; the items are few and ship to every task as one list."""
+    items = [(r["item_id"], r["p"]) for r in b.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 3).alias("p")).limit(MOST_PARTS + 1).collect()]
+    if len(items) > MOST_PARTS:
+        raise ValueError(f"st13 counts at most {MOST_PARTS} parts at once")
+    part = F.explode(F.from_json(F.lit(json.dumps([{"item_id": i, "p": p} for i, p in items])), "array<struct<item_id:bigint,p:string>>"))
+    x = b.table(spark, d, "documents").select("doc_id", "text", part.alias("i"))
+    return x.select("doc_id", "i.item_id", t.occurrences(F.col("text"), F.col("i.p")).cast("long").alias("n"))
 
 
 @query("st14_st15_lines", "SELECT doc_id, length(substr(text, 1, 99)) - length(replace(substr(text, 1, 99), chr(10), '')) + 1 AS line, CASE WHEN doc_id % 2 = 0 AND contains(text, chr(10)) THEN 'crlf' ELSE 'lf' END AS eol FROM documents")
@@ -490,13 +486,8 @@ def st30(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "pages").select("page_id", t.csv_field(x).alias("csv"), t.escape_html(x).alias("esc"))
 
 
-@query("st31_markdown_links", with_sql("file", "SELECT doc_id, unnest(list_value('a' || doc_id || '.md', lang || '/b.md')) AS link FROM file WHERE doc_id % 3 = 0"))
+@query("st31_markdown_links", with_sql("file", "SELECT doc_id, unnest(list_value('a' || doc_id || '.md', lang || '/b.md')) AS link FROM file"))
 def st31(spark: SparkSession, d: str) -> DataFrame:
-    return _links(b.files(spark, d).where("doc_id % 3 = 0"))
-
-
-@query("st31_markdown_links_all", with_sql("file", "SELECT doc_id, unnest(list_value('a' || doc_id || '.md', lang || '/b.md')) AS link FROM file"))
-def st31_all(spark: SparkSession, d: str) -> DataFrame:
     return _links(b.files(spark, d))
 
 
@@ -604,17 +595,9 @@ def tk8(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w8_index_problems",
-    "WITH e AS (SELECT user_id AS plan, event_id AS pos, event_id * 7 % 40 AS idx FROM events WHERE event_id < 900), p AS (SELECT plan, pos, CASE WHEN count(*) OVER (PARTITION BY plan, idx) > 1 THEN 'duplicate' WHEN idx <= lag(idx) OVER (PARTITION BY plan ORDER BY pos) THEN 'not rising' END AS problem FROM e) SELECT * FROM p WHERE problem IS NOT NULL",
-)
-def w8(spark: SparkSession, d: str) -> DataFrame:
-    return _problems(b.table(spark, d, "events").where("event_id < 900"))
-
-
-@query(
-    "w8_index_problems_all",
     "WITH e AS (SELECT user_id AS plan, event_id AS pos, event_id * 7 % 40 AS idx FROM events), p AS (SELECT plan, pos, CASE WHEN count(*) OVER (PARTITION BY plan, idx) > 1 THEN 'duplicate' WHEN idx <= lag(idx) OVER (PARTITION BY plan ORDER BY pos) THEN 'not rising' END AS problem FROM e) SELECT * FROM p WHERE problem IS NOT NULL",
 )
-def w8_all(spark: SparkSession, d: str) -> DataFrame:
+def w8(spark: SparkSession, d: str) -> DataFrame:
     return _problems(b.table(spark, d, "events"))
 
 
@@ -622,19 +605,39 @@ def _problems(e: DataFrame) -> DataFrame:
     return patch.index_problems(e.select(F.col("user_id").alias("plan"), F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 40).alias("idx")))
 
 
-_EDITS = """, ed AS (SELECT doc_id AS edit, CASE WHEN doc_id % 9 = 0 THEN '/' || path WHEN doc_id % 8 = 0 THEN 'none/' || doc_id ELSE path END AS f, CASE WHEN doc_id % 5 = 0 THEN 'no such text' WHEN doc_id % 6 = 0 THEN '' ELSE substr(content, 5, 30) END AS old FROM file),
-v AS (SELECT edit, f AS file, old, content AS c, CASE WHEN old = '' OR c IS NULL THEN 0 ELSE CASE WHEN NOT contains(c, old) THEN 0 WHEN contains(substr(c, strpos(c, old) + 1), old) THEN 2 ELSE 1 END END AS hits FROM ed LEFT JOIN file ON path = f)
-, st AS (SELECT edit, file, CASE WHEN starts_with(file, '/') THEN 'bad-path' WHEN old = '' AND c IS NULL THEN 'created' WHEN old = '' THEN 'exists' WHEN c IS NULL THEN 'no-file' WHEN hits = 0 THEN 'no-match' WHEN hits > 1 THEN 'ambiguous' ELSE 'applied' END AS status, c, old FROM v)
+#: Which file and text an edit names, so that every status occurs; one document in ten stands for an empty file.
+_EDITS = """, f AS (
+  SELECT doc_id, path, CASE WHEN doc_id % 10 = 7 THEN '' ELSE content END AS content, doc_id % 23 = 4 AS is_dir, doc_id % 29 = 3 AS bad_bytes FROM file
+), ed AS (
+  SELECT doc_id AS edit,
+         CASE WHEN doc_id % 9 = 0 THEN '/' || path WHEN doc_id % 31 = 1 THEN 'a/../../' || path WHEN doc_id % 8 = 0 THEN 'none/' || doc_id ELSE path END AS f,
+         CASE WHEN doc_id % 5 = 0 THEN 'no such text' WHEN doc_id % 6 = 0 OR doc_id % 10 = 7 THEN '' ELSE coalesce(substr(content, 5, 30), '') END AS old
+  FROM f
+), v AS (
+  SELECT edit, f AS file, old, path IS NOT NULL AS there, coalesce(content, '') AS c, coalesce(is_dir, false) AS is_dir, coalesce(bad_bytes, false) AS bad_bytes FROM ed LEFT JOIN f ON path = f
+), h AS (
+  SELECT *, CASE WHEN old = '' OR NOT contains(c, old) THEN 0 WHEN contains(substr(c, strpos(c, old) + 1), old) THEN 2 ELSE 1 END AS hits FROM v
+), st AS (
+  SELECT edit, file, c, old,
+         CASE WHEN starts_with(file, '/') OR starts_with(file, 'a/../../') THEN 'unsafe-path' WHEN is_dir THEN 'not-a-file' WHEN bad_bytes THEN 'undecodable'
+           WHEN NOT there AND old = '' THEN 'created' WHEN NOT there THEN 'file-missing' WHEN old = '' AND c = '' THEN 'applied'
+           WHEN old = '' OR hits = 0 THEN 'no-match' WHEN hits > 1 THEN 'ambiguous' ELSE 'applied' END AS status FROM h)
 """
 
 
 def _verified(spark: SparkSession, d: str) -> DataFrame:
-    f, k = b.files(spark, d), F.col("doc_id")
-    edits = f.select(k.alias("edit"), F.when(k % 9 == 0, F.concat(F.lit("/"), "path")).when(k % 8 == 0, F.concat(F.lit("none/"), k.cast("string"))).otherwise(F.col("path")).alias("file"), F.when(k % 5 == 0, "no such text").when(k % 6 == 0, "").otherwise(F.substring("content", 5, 30)).alias("old"), F.lit("new").alias("new"))
-    return patch.verify(edits, f.select(F.col("path").alias("file"), "content"))
+    k = F.col("doc_id")
+    f = b.files(spark, d).select("doc_id", "path", F.when(k % 10 == 7, "").otherwise(F.col("content")).alias("content"), (k % 23 == 4).alias("is_dir"), (k % 29 == 3).alias("bad_bytes"))
+    name = F.when(k % 9 == 0, F.concat(F.lit("/"), "path")).when(k % 31 == 1, F.concat(F.lit("a/../../"), "path")).when(k % 8 == 0, F.concat(F.lit("none/"), k.cast("string"))).otherwise(F.col("path"))
+    old = F.when(k % 5 == 0, "no such text").when((k % 6 == 0) | (k % 10 == 7), "").otherwise(F.coalesce(F.substring("content", 5, 30), F.lit("")))
+    edits = f.select(k.alias("edit"), name.alias("file"), old.alias("old"), F.lit("new").alias("new"))
+    return patch.verify(edits, f.select(F.col("path").alias("file"), "content", "is_dir", "bad_bytes"))
+
 
+_LINE = "CASE WHEN status = 'created' OR status = 'applied' AND old = '' THEN 1 WHEN status = 'applied' THEN CAST(length(substr(c, 1, strpos(c, old) - 1)) - length(replace(substr(c, 1, strpos(c, old) - 1), chr(10), '')) + 1 AS INT) END"
 
-@query("pt2_verify", with_sql("file", _EDITS + "SELECT edit, file, status, CASE WHEN status = 'applied' THEN CAST(length(substr(c, 1, strpos(c, old) - 1)) - length(replace(substr(c, 1, strpos(c, old) - 1), chr(10), '')) + 1 AS INT) END AS line FROM st"))
+
+@query("pt2_verify", with_sql("file", _EDITS + f"SELECT edit, file, status, {_LINE} AS line FROM st"))
 def pt2(spark: SparkSession, d: str) -> DataFrame:
     return _verified(spark, d)
 
@@ -663,19 +666,14 @@ def pt5(spark: SparkSession, d: str) -> DataFrame:
     return patch.rollback_plan(m, b.after(spark, d).select(F.col("path").alias("file"), "hash"))
 
 
-@query("pt2_apply_in_order", with_sql("file", "SELECT path AS file, sha256(CASE WHEN contains(substr(content, 2), substr(content, 1, 12)) THEN content ELSE 'A' || substr(content, 13) END) AS sha FROM file WHERE doc_id % 2 = 0 AND length(content) > 400"))
+@query("pt2_apply_in_order", with_sql("file", "SELECT path AS file, sha256(CASE WHEN contains(substr(content, 2), substr(content, 1, 12)) THEN content ELSE 'A' || substr(content, 13) END) AS sha FROM file"))
 def pt2_order(spark: SparkSession, d: str) -> DataFrame:
-    return _edited(b.files(spark, d), "doc_id % 2 = 0 AND length(content) > 400")
-
-
-@query("pt2_apply_in_order_all", with_sql("file", "SELECT path AS file, sha256(CASE WHEN contains(substr(content, 2), substr(content, 1, 12)) THEN content ELSE 'A' || substr(content, 13) END) AS sha FROM file"))
-def pt2_order_all(spark: SparkSession, d: str) -> DataFrame:
-    return _edited(b.files(spark, d), "true")
+    return _edited(b.files(spark, d))
 
 
-def _edited(files: DataFrame, chosen: str) -> DataFrame:
+def _edited(files: DataFrame) -> DataFrame:
     f = files.select(F.col("path").alias("file"), "content", "doc_id")
-    edits = f.where(chosen).select("file", F.lit(1).alias("ord"), F.substring("content", 1, 12).alias("old"), F.lit("A").alias("new"))
+    edits = f.select("file", F.lit(1).alias("ord"), F.substring("content", 1, 12).alias("old"), F.lit("A").alias("new"))
     return patch.apply_in_order(edits, f.select("file", "content")).select("file", F.sha2("content", 256).alias("sha"))
 
 

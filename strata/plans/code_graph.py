@@ -106,16 +106,23 @@ def ag18_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact(graph.file_adjacency(b.nodes(spark, d), b.edges(spark, d)), 10)[1]
 
 
-@query(
-    "gr8_impact_focus",
-    with_sql(
-        "fnode edge",
-        _ADJ + ", near AS (SELECT * FROM adj WHERE from_file = 'ASIA/INDIA.x' OR to_file = 'ASIA/INDIA.x')" + _TOP.replace("FROM adj", "FROM near") + "SELECT file, CAST(degree AS BIGINT) AS degree FROM ranked",
-    ),
-)
+#: The focus is the first file of the adjacency, so that it exists in every set of tables.
+_NEAR = _ADJ + ", focus AS (SELECT min(least(from_file, to_file)) AS file FROM adj), near AS (SELECT adj.* FROM adj, focus WHERE from_file = file OR to_file = file)" + _TOP.replace("FROM adj", "FROM near")
+
+
+def _focused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    adjacency = graph.file_adjacency(b.nodes(spark, d), b.edges(spark, d))
+    return graph.impact(adjacency, 10, adjacency.agg(F.min(F.least("from_file", "to_file")).alias("file")))
+
+
+@query("gr8_impact_focus", with_sql("fnode edge", _NEAR + "SELECT file, CAST(degree AS BIGINT) AS degree FROM ranked"))
 def gr8(spark: SparkSession, d: str) -> DataFrame:
-    focus = spark.range(1).select(F.lit("ASIA/INDIA.x").alias("file"))
-    return graph.impact(graph.file_adjacency(b.nodes(spark, d), b.edges(spark, d)), 10, focus)[0]
+    return _focused(spark, d)[0]
+
+
+@query("gr8_impact_focus_links", with_sql("fnode edge", _NEAR + "SELECT from_file, to_file, weight FROM near WHERE from_file IN (SELECT file FROM ranked) AND to_file IN (SELECT file FROM ranked)"))
+def gr8_links(spark: SparkSession, d: str) -> DataFrame:
+    return _focused(spark, d)[1]
 
 
 @query(
@@ -130,21 +137,14 @@ def ag3(spark: SparkSession, d: str) -> DataFrame:
     return graph.self_attributes(rows).select("class_name", "attr", *joined("read_in", "written_in"))
 
 
-@query("ag5_scan_coverage", """WITH u AS (SELECT source || '/' || doc_id AS file, CASE WHEN n_chars > 5000 THEN 'unreadable' WHEN lang = 'fr' THEN 'unparsable' ELSE 'partial' END AS reason FROM documents WHERE doc_id % 5 = 0)
-SELECT reason, count(*) AS n, string_agg(file, '|' ORDER BY file) AS files FROM u GROUP BY 1""")
+@query(
+    "ag5_scan_coverage",
+    """WITH u AS (SELECT source || '/' || doc_id AS file, CASE WHEN n_chars > 5000 THEN 'unreadable' WHEN lang = 'fr' THEN 'unparsable' ELSE 'partial' END AS reason FROM documents)
+SELECT reason, file, count(*) OVER (PARTITION BY reason) AS n FROM u""",
+)
 def ag5(spark: SparkSession, d: str) -> DataFrame:
-    return _coverage(b.table(spark, d, "documents").where("doc_id % 5 = 0"))
-
-
-@query("ag5_scan_coverage_all", """WITH u AS (SELECT source || '/' || doc_id AS file, CASE WHEN n_chars > 5000 THEN 'unreadable' WHEN lang = 'fr' THEN 'unparsable' ELSE 'partial' END AS reason FROM documents)
-SELECT reason, count(*) AS n, string_agg(file, '|' ORDER BY file) AS files FROM u GROUP BY 1""")
-def ag5_all(spark: SparkSession, d: str) -> DataFrame:
-    return _coverage(b.table(spark, d, "documents"))
-
-
-def _coverage(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.when(F.col("n_chars") > 5000, "unreadable").when(F.col("lang") == "fr", "unparsable").otherwise("partial").alias("reason"))
-    return graph.scan_coverage(rows).select("reason", "n", *joined("files"))
+    reason = F.when(F.col("n_chars") > 5000, "unreadable").when(F.col("lang") == "fr", "unparsable").otherwise("partial")
+    return graph.scan_coverage(b.table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), reason.alias("reason")))
 
 
 @query("ag6_dir_map", with_sql("fnode", "SELECT regexp_replace(file, '/[^/]*$', '') AS dir, count(DISTINCT file) AS n_files, count(*) AS n_functions FROM fnode WHERE NOT synthetic GROUP BY 1"))

@@ -30,7 +30,7 @@ def test_occurrences_of_every_item_in_every_text(spark, tables):
     def n(x, p):
         return sum(x.startswith(p, i) for i in range(len(x))) if x and p else 0
 
-    got = {(r.doc_id, r.item_id): r.n for r in QUERIES["st13_occurrences_all"](spark, tables).collect()}
+    got = {(r.doc_id, r.item_id): r.n for r in QUERIES["st13_occurrences"](spark, tables).collect()}
     assert got == {(k, i): n(x, p and p[:3]) for k, x in TEXTS.items() for i, p in ITEMS.items()}
     assert got[105, 0] == 500 and got[20, 1] == 400
 
@@ -45,17 +45,17 @@ def test_language_of_every_whole_text(spark, tables):
         return "undecided" if scores[best] < 0.02 or best != "en" and scores[best] - scores["en"] < 0.02 else best
 
     want = [judge(x) for x in TEXTS.values()]
-    got = {r.got: r.n for r in QUERIES["st12_ag22_language_check_all"](spark, tables).collect()}
+    got = {r.got: r.n for r in QUERIES["st12_ag22_language_check"](spark, tables).collect()}
     assert got == {g: want.count(g) for g in want} and sum(got.values()) == len(TEXTS)
     assert judge(TEXTS[9]) == "de" != judge(TEXTS[9][:4000])
 
 
 def test_no_row_is_left_out(spark, tables):
     ids = set(TEXTS)
-    assert {r.doc_id for r in QUERIES["gr12_files_from_diff_all"](spark, tables).collect()} == ids
-    assert {r.doc_id for r in QUERIES["st31_markdown_links_all"](spark, tables).collect()} == ids
-    assert sum(r.n for r in QUERIES["ag5_scan_coverage_all"](spark, tables).collect()) == len(ids)
-    assert QUERIES["pt2_apply_in_order_all"](spark, tables).count() == len(ids)
+    assert {r.doc_id for r in QUERIES["gr12_files_from_diff"](spark, tables).collect()} == ids
+    assert {r.doc_id for r in QUERIES["st31_markdown_links"](spark, tables).collect()} == ids
+    assert QUERIES["ag5_scan_coverage"](spark, tables).count() == len(ids)
+    assert QUERIES["pt2_apply_in_order"](spark, tables).count() == len(ids)
     idx = {k: k * 7 % 40 for k in range(880, 1000)}
     want, last, seen = {}, {}, [(k % 3, i) for k, i in idx.items()]
     for k, i in idx.items():
@@ -64,4 +64,4 @@ def test_no_row_is_left_out(spark, tables):
         elif i <= last.get(k % 3, -1):
             want[k] = "not rising"
         last[k % 3] = i
-    assert {r.pos: r.problem for r in QUERIES["w8_index_problems_all"](spark, tables).collect()} == want and max(want) >= 900
+    assert {r.pos: r.problem for r in QUERIES["w8_index_problems"](spark, tables).collect()} == want and max(want) >= 900
