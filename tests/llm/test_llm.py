@@ -373,6 +373,51 @@ def test_leaves_in_chunks_give_the_same(spark, monkeypatch):
     assert rows_of_spark(ann.nearest(df, F.col("id") % 20 == 0, 5)) == one
 
 
+def test_a_block_with_an_empty_side_has_no_best():
+    some, none = np.ones((2, 3)), np.zeros((0, 3))
+    ids, bits, no = np.array([1, 2]), np.array([1, 1]), np.zeros(0, np.int64)
+    assert ann.best_of(ids, some, bits, no, none, no, 5).shape == (3, 0) == ann.best_of(no, none, no, ids, some, bits, 5).shape
+    assert ann.best_of(ids, some, np.array([2, 2]), ids + 5, some, bits, 5).shape == (3, 0)
+
+
+def test_queue_and_sorting_open_the_same_leaves():
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    f = ann.Forest(x, 3, 7)
+    for budget in (0.01, 0.3, 1.1, 9.0):
+        got = f.opened(x[:20], budget)
+        assert [sorted(f.search(q, budget)) for q in x[:20]] == [sorted(g.tolist()) for g in got]
+        for leaves in got:
+            unit, bits = f.masks(leaves)
+            back = [u << f.unit | b for u, m in zip(unit.tolist(), bits.view(np.uint64).tolist(), strict=True) for b in range(64) if m >> b & 1]
+            assert back == sorted(leaves.tolist())
+
+
+def forest_recall(x: np.ndarray, k: int = 20) -> tuple[float, float]:
+    """Recall against brute force, and the share of distinct rows opened, for a twentieth of the rows."""
+    fit = np.random.default_rng(1).permutation(x)[: ann.SAMPLE]
+    f = ann.Forest(fit, ann.TREES, ann.depth_for(len(x), len(fit)))
+    budget = ann.measured_budget(fit, len(x), k, ann.TREES) / len(x)
+    own = np.stack([t * f.leaves + f.leaf(x, t) for t in range(ann.TREES)], axis=1)
+    at = np.arange(0, len(x), 20)[:150]
+    hits = seen = 0
+    for q, leaves in zip(at, f.opened(x[at], budget), strict=True):
+        s = x @ x[q]
+        s[q] = -np.inf
+        inside = np.isin(own, leaves).any(axis=1)
+        hits += inside[np.argsort(-s)[:k]].sum()
+        seen += inside.mean()
+    return hits / len(at) / k, seen / len(at)
+
+
+def test_recall_holds_and_the_opened_share_falls_as_tables_grow():
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for make, falls in ((lambda n: unit(rng.normal(size=(n, 64))), 0.97), (lambda n: unit(rng.normal(size=(60, 64))[rng.integers(60, size=n)] + 0.35 * rng.normal(size=(n, 64))), 0.8)):
+        small, large = forest_recall(make(2000)), forest_recall(make(30_000))
+        assert small[0] >= 0.9 and large[0] >= 0.9, (small, large)
+        assert large[1] < falls * small[1], (small, large)
+
+
 # --- BPE -----------------------------------------------------------------------------------------------------------------
 
 
