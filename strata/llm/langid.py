@@ -5,7 +5,8 @@ longest length of which any is known, down to single letters; a word of which no
 language has the largest sum over its words; its score is the posterior over a bounded number of words.
 
 Cases: a null text and one without a letter are ``und`` with score 0; ties go to the first language by name; empty training
-data leave every document ``und``; repeated rows give repeated results.
+data leave every document ``und``; repeated rows give repeated results; very long texts are read whole; columns to be kept
+that have an output's name are refused.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strata.llm.common import sampled
+from strata.llm.common import materialize, no_clash, sampled
 
 WORD = regex.compile(r"\p{L}+")
 #: Longest n-gram of the fallback.
@@ -32,6 +33,8 @@ GRAMS_PER_LENGTH = 8_000
 #: Words over which a document's evidence counts in full; more of them don't make the posterior sharper.
 FULL_WORDS = 40
 MEMORY = 150_000
+#: Languages that are learnt, the commonest ones.
+MAX_LANGUAGES = 500
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -128,15 +131,22 @@ class Scorer(dict):
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Fit on about ``docs_per_language`` documents of each language, chosen by hashed id; rows without a language don't count."""
     docs = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    # A column with more values than there are languages is dirty: the commonest ones are learnt.
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Model([], {})
     rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_language / n))).otherwise(rate)
-    counted = count_evidence(sampled(docs, "id", rate), "lang", "text").where("times >= 2 or n = 1")
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("times"), "item")))
-    kept = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LENGTH)).select("lang", "n", "item", "times").collect()
+    counted = materialize(count_evidence(sampled(docs, "id", rate), "lang", "text").where("times >= 2 or n = 1"), "evidence")
+    kept = []
+    for lengths, most in (("n = 0", WORDS_PER_LANGUAGE), ("n > 0", GRAMS_PER_LENGTH)):
+        best = counted.where(lengths)
+        # The best of 32 parts of each language first, so that no task sorts a language's items.
+        for by in (["lang", "n", F.pmod(F.xxhash64("item"), F.lit(32))], ["lang", "n"]):
+            rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("times"), "item"))
+            best = best.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+        kept += best.select("lang", "n", "item", "times").collect()
     totals: dict[tuple[str, int], int] = {}
     for r in kept:
         totals[r["lang"], r["n"]] = totals.get((r["lang"], r["n"]), 0) + r["times"]
@@ -146,7 +156,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, lang_pred, score`` for every row's whole text, with the columns named in ``keep`` before them."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    lead = [id_col, *keep]
+    lead = list(dict.fromkeys([id_col, *keep]))
+    no_clash(lead, "lang_pred", "score")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in lead) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

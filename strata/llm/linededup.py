@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import ASCII_SPACE, materialize
+from strata.llm.common import ASCII_SPACE, materialize, no_clash
 
 #: Bits of the twice-seen filter for each distinct line, and the most that the filter may take. Beyond that, more lines are
 #: suspects by chance and shuffle for nothing; results stay the same.
@@ -181,6 +181,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col:
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
+    no_clash([id_col, *carry], "kept", "n_lines", "n_dropped", "kept_sha256")
     words = twice_seen(docs, text_col, max_filter_bytes)
     found = materialize(repeated_keys(docs, words, min_docs, id_col, text_col), "repeats")
     n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import sampled
+from strata.llm.common import no_clash, sampled
 
 #: The statistics, in the order in which :func:`statistics` gives them.
 NAMES = (
@@ -204,5 +204,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, score, predicted`` for every row's whole text, with the columns named in ``keep`` after the id."""
     lead = list(dict.fromkeys([id_col, *keep]))
+    no_clash(lead, "score", "predicted")
     scored = with_statistics(docs, lead, text_col).select(*lead, model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

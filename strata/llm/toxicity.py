@@ -1,19 +1,24 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: a short lexicon, patterns, and words and word beginnings that the labelled sample suggests.
-A generative label model (class balance, each voter's rate of firing in either class, by expectation maximisation) weighs
-them; voters whose firings go together are found from their correlations and share one vote. A linear classifier over
-voter counts is then trained on the posterior labels, with the labelled rows as anchors, and scores whole texts.
-
-Cases: null and empty texts get the score of a text without any firing; repeated rows give repeated results; several labels
-of one id count as toxic if any is; null labels and unlabelled rows are not learnt from; without labels only the lexicon
-and the patterns vote.
+Many voters look at a document: a short lexicon, patterns, and words and word beginnings. The latter are suggested by the
+labelled sample and, as the seeds' own votes on documents without a label suggest further ones, by the unlabelled sample.
+A generative label model explains the votes on both samples: class balance, each voter's rate of firing in either class, and
+the correlations of voters within a class, all by expectation maximisation. Labels only anchor it: a labelled row counts
+with its label where rates are estimated, and its posterior is what the votes say. Voters that go together in a class share
+their weight (an observation's worth is divided by the sum of its correlations). A linear classifier over voter counts is
+trained on the posteriors of all rows of both samples, and scores whole texts.
+
+Cases: null and empty texts get the score of a text without any firing; very long texts are scored whole; repeated rows give
+repeated results; several labels of one id count as toxic if any is; null labels, null ids and unlabelled rows give no label;
+without labels the label model rests on the votes alone, without documents only the lexicon and the patterns vote; columns
+to be kept that have an output's name are refused.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import sampled
+from strata.llm.common import materialize, no_clash, sampled
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 #: Insults that vote from the start.
@@ -30,19 +35,26 @@ LEXICON = ("idiot", "moron", "scum", "trash", "clown", "loser", "stupid", "pathe
 PATTERNS = (
     rf"(?i)\byou(?:'re| are)?\s+(?:an?\s+)?(?:{'|'.join(LEXICON)})\b",
     rf"\b(?:{'|'.join(w.upper() for w in LEXICON)})\b",
-    r"(?i)\b(?:kill yourself|go die|drop dead|shut up)\b",
+    r"(?i)\b(?:kill\s+yourself|go\s+die|drop\s+dead|shut\s+up)\b",
 )
-#: Documents of each class in the labelled sample (chosen by hashed id; about so many).
-DOCS_PER_CLASS = 3000
-#: Voters kept of those that the sample suggests, the documents they need, and the share of them that is toxic.
+#: Words of which a match of a pattern has one (of the first two), or both of a pair (of the third).
+MUST_HOLD = frozenset(LEXICON)
+MUST_HOLD_BOTH = (("kill", "yourself"), ("go", "die"), ("drop", "dead"), ("shut", "up"))
+#: Documents of each class in the labelled sample, and documents in the unlabelled one (chosen by hashed id; about so many).
+DOCS_PER_CLASS, DOCS_UNLABELLED = 3000, 4000
+#: Voters kept of those that either sample suggests, the documents they need, and the share of them that is toxic.
 MAX_VOTERS = 400
 MIN_SUPPORT = 3
 MIN_PRECISION = 0.9
 #: Lengths of word beginnings that may vote.
 BEGINNINGS = range(3, 8)
-#: Voters that agree this well share one vote.
-TIED = 0.8
+#: Correlation within a class from which on voters share their weight.
+TIED = 0.6
+#: Share of toxic documents that is assumed where no label says it.
+BALANCE = 0.1
 MEMORY = 150_000
+#: Values of the label column that are told apart; all above 0 are toxic.
+MAX_CLASSES = 100
 
 
 def pieces(word: str) -> list[str]:
@@ -74,65 +86,133 @@ class Votes:
                 fires = self.firing[word] = tuple(self.place[p] for p in pieces(word) if p in self.place)
             for v in fires:
                 out[v] += k
-        if out:  # a pattern holds a word of the lexicon, which votes itself
-            for k, p in enumerate(self.patterns):
-                if n := len(p.findall(text)):
-                    out[len(self.voters) + k] = n
+        # A text without the words of which a match must consist has none.
+        may = not MUST_HOLD.isdisjoint(words), any(a in words and b in words for a, b in MUST_HOLD_BOTH)
+        for k, p in enumerate(self.patterns):
+            if may[k == 2] and (n := len(p.findall(text))):
+                out[len(self.voters) + k] = n
         out[-1] = sum(words.values())
         return dict(out)
 
 
-def suggest(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Voters that the sample suggests: pieces far more common in toxic documents, each adding documents or weight."""
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({p for w in set(WORD.findall(text.lower())) for p in pieces(w)})
-    n0, n1 = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
-    good = []
-    for p, k in seen[1].items():
-        rate1, rate0 = (k + 0.1) / n1, (seen[0][p] + 0.1) / n0
-        if k >= MIN_SUPPORT and rate1 / (rate1 + rate0) >= MIN_PRECISION:
-            good.append((-rate1 * np.log(rate1 / rate0), len(p), p))
-    return [p for _, _, p in sorted(good)[:MAX_VOTERS]]
+def firings(rows: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ids, labels and the firings (rows x voters, as features) of a sample with ``row, label, text``."""
+    shipped = rows.sparkSession.sparkContext.broadcast(voters)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = Votes(shipped.value)
+        for batch in batches:
+            found = [votes.counts(t.as_py()) for t in batch.column(2)]
+            at = [[v for v in f if v >= 0] for f in found]
+            times = [[f[v] for v in own] for f, own in zip(found, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["row", "label", "at", "times"])
+
+    got = rows.select("row", "label", "text").mapInArrow(run, "row bigint, label int, at array<int>, times array<int>").orderBy("row").collect()  # a bounded sample
+    x = np.zeros((len(got), len(Votes(voters))))
+    for k, r in enumerate(got):
+        for v, n in zip(r["at"], r["times"], strict=True):
+            x[k, v] = feature(n)
+    return np.array([r["row"] for r in got], np.int64), np.array([r["label"] for r in got], np.int64), x
 
-def label_model(fired: np.ndarray, known: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """The posterior of each row being toxic, and each voter's share of a vote.
 
-    ``fired`` is rows x voters, ``known`` holds 1, 0 or -1 (no label). Voters tied by correlation form a group and share
-    its vote, so that twenty spellings of one word don't outvote the rest.
+def suggest(rows: DataFrame, believed: set[int], sizes: dict[int, int]) -> list[str]:
+    """Voters that the sample suggests: pieces that hardly occur outside toxic documents, the best first.
+
+    Labelled rows compare the classes' rates, as they are about as many of either. Rows without a label are toxic if
+    ``believed`` holds them; a piece's rows themselves must be so. ``sizes`` has the labelled rows by label.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(believed)
+    kinds = ("named1", "named0", "open1", "open0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [Counter() for _ in kinds]
+
+        def flush() -> pa.RecordBatch:
+            every = list(set().union(*seen))
+            out = pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[p] for p in every], pa.int64()) for c in seen)], names=["piece", *kinds])
+            for c in seen:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for row, label, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                kind = (0 if label else 1) if label >= 0 else (2 if row in shipped.value else 3)
+                seen[kind].update({p for w in set(WORD.findall((text or "").lower())) for p in pieces(w)})
+            if sum(map(len, seen)) > MEMORY:
+                yield flush()
+        yield flush()
+
+    counted = rows.select("row", "label", "text").mapInArrow(run, "piece string, " + ", ".join(f"{k} bigint" for k in kinds))
+    summed = counted.groupBy("piece").agg(*(F.sum(k).alias(k) for k in kinds)).where(f"named1 >= {MIN_SUPPORT} or open1 >= {2 * MIN_SUPPORT}")
+    n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    ranked: tuple[list, list] = ([], [])
+    for r in summed.toLocalIterator():  # pieces of a bounded sample's toxic rows
+        rate1, rate0 = (r["named1"] + 0.1) / n1, (r["named0"] + 0.1) / n0
+        if r["named1"] >= MIN_SUPPORT and rate1 / (rate1 + rate0) >= MIN_PRECISION:
+            ranked[0].append((-rate1 * np.log(rate1 / rate0), len(r["piece"]), r["piece"]))
+        if r["open1"] >= 2 * MIN_SUPPORT and r["open1"] >= MIN_PRECISION * (r["open1"] + r["open0"]):
+            ranked[1].append((-r["open1"], len(r["piece"]), r["piece"]))
+    # Both samples' voters in turn.
+    return list(dict.fromkeys(p[2] for pair in zip_longest(*map(sorted, ranked)) for p in pair if p is not None))[:MAX_VOTERS]
+
+
+def within_class(x: np.ndarray, weight: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Correlations of the voters in one class, rows weighing as they belong to it; near 0 for those that hardly fire in it."""
+    e = ((x - rate) * np.sqrt(weight)[:, None]).astype(np.float32)
+    cov = e.T @ e
+    spread = np.sqrt(np.diag(cov) + 2.0)
+    return cov / np.outer(spread, spread)
+
+
+def label_model(fired: np.ndarray, known: np.ndarray, rounds: int = 40, balance: float = BALANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The posterior of each row being toxic by the votes alone, and each voter's share of a vote.
+
+    ``fired`` is rows x voters, ``known`` holds 1, 0 or -1 (no label). A label fixes how its row counts in the estimates of
+    rates and correlations, never the row's own posterior. The class balance is that of the rows without a label.
     """
     n, m = fired.shape
     if not n or not m:
         return np.where(known == 1, 1.0, 0.0), np.ones(m)
     x = fired.astype(np.float64)
-    centred = x - x.mean(axis=0)
-    spread = np.sqrt((centred**2).sum(axis=0)) + 1e-9
-    tied = (centred.T @ centred) / np.outer(spread, spread) > TIED
-    share = 1.0 / np.maximum(1, tied.sum(axis=1))
-    post = np.where(known >= 0, known, np.where(x.any(axis=1), 0.7, 0.1)).astype(np.float64)
-    for _ in range(rounds):
-        prior = np.clip(post.mean(), 0.01, 0.99)
-        rate1 = np.clip((post @ x + 0.2) / (post.sum() + 1), 1e-4, 0.999)
-        rate0 = np.clip(((1 - post) @ x + 0.02) / ((1 - post).sum() + 1), 1e-5, 0.999)
+    open_rows = known < 0
+    prior, share = balance, np.ones(m)
+    post = np.where(x.any(axis=1), 0.7, 0.05)
+    for step in range(rounds):
+        counts = np.where(open_rows, post, known)
+        rate1 = np.clip((counts @ x + 0.2) / (counts.sum() + 1), 1e-4, 0.999)
+        rate0 = np.clip(((1 - counts) @ x + 0.02) / ((1 - counts).sum() + 1), 1e-5, 0.999)
+        if step % 5 == 1:
+            ties = np.maximum(within_class(x, counts, rate1), within_class(x, 1 - counts, rate0))
+            np.fill_diagonal(ties, 1.0)
+            share = 1.0 / np.where(ties > TIED, ties, 0.0).sum(axis=1)
+        if open_rows.any():
+            prior = float(np.clip(post[open_rows].mean(), 0.01, 0.9))
         odds = np.log(prior / (1 - prior)) + x @ (share * np.log(rate1 / rate0)) + (1 - x) @ (share * np.log((1 - rate1) / (1 - rate0)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        new = np.where(known >= 0, 0.9 * known + 0.1 * new, new)
-        if np.abs(new - post).max() < 1e-5:
+        if step > 10 and np.abs(new - post).max() < 1e-4:
+            post = new
             break
         post = new
     return post, share
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient steps; weights of firings don't go below zero."""
+def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient steps; weights of firings don't go below zero.
+
+    Rows without any firing are alike, so they count as one row of their number and mean target.
+    """
     n, m = x.shape
+    still = ~x.any(axis=1)
+    size = np.ones(n)
+    if still.any():
+        x, target, size = np.vstack([x[~still], np.zeros((1, m))]), np.append(target[~still], target[still].mean()), np.append(size[~still], still.sum())
+    size = size / size.sum()
     w, b = np.zeros(m), 0.0
     v, c = w.copy(), b
-    step = 1.0 / (0.25 * (np.linalg.norm(x, 2) ** 2 / max(1, n) + 1) + l2)
+    step = 1.0 / (0.25 * (np.linalg.norm(x * np.sqrt(size)[:, None], 2) ** 2 + 1) + l2)
     for k in range(rounds):
-        error = 1 / (1 + np.exp(-(x @ v + c))) - target
-        new_w, new_b = np.maximum(0, v - step * (x.T @ error / n + l2 * v)), c - step * error.mean()
+        error = size * (1 / (1 + np.exp(-(x @ v + c))) - target)
+        new_w, new_b = np.maximum(0, v - step * (x.T @ error + l2 * v)), c - step * error.sum()
         pull = k / (k + 3)
         v, c, w, b = new_w + pull * (new_w - w), new_b + pull * (new_b - b), new_w, new_b
     return w, b
@@ -153,42 +233,49 @@ def feature(firings: int) -> float:
     return 1.0 + np.log(firings)
 
 
-def train_on(texts: list[str], labels: list[int]) -> Model:
-    toxic = np.array(labels, np.int64)
-    voters = list(dict.fromkeys([*(f"={w}" for w in LEXICON), *suggest(texts, toxic)]))
-    votes = Votes(voters)
-    x = np.zeros((len(texts), len(votes)))
-    for r, text in enumerate(texts):
-        for v, k in votes.counts(text).items():
-            if v >= 0:
-                x[r, v] = feature(k)
-    if not len(texts):
-        return Model(votes, np.full(len(votes), 4.0), -3.0)
-    posterior, share = label_model(x > 0, toxic)
-    # Voters of a tied group get equal parts of what the group weighs.
-    w, b = fit_linear(x * np.sqrt(share), posterior)
-    w = w * np.sqrt(share)
-    silent = np.array([not x[:, v].any() for v in range(len(votes))])
-    w[silent] = np.median(w[~silent & (w > 0)]) if (~silent & (w > 0)).any() else 4.0  # never seen in the sample: as the others
-    return Model(votes, w, float(b))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> Model:
-    """Fit on about ``docs_per_class`` labelled documents of each class."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS, docs_unlabelled: int = DOCS_UNLABELLED) -> Model:
+    """Fit on about ``docs_per_class`` labelled documents of each class and ``docs_unlabelled`` whose labels aren't looked at."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(MAX_CLASSES).collect()}
     rate = F.lit(0.0)
     for label, n in sizes.items():
         rate = F.when(F.col("label") == label, F.lit(min(1.0, docs_per_class / n))).otherwise(rate)
-    chosen = F.broadcast(sampled(known, "id", rate))  # about two times docs_per_class rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "label").toPandas()
-    return train_on([t or "" for t in rows["text"]], [int(y > 0) for y in rows["label"]])
+    chosen = sampled(known, "id", rate)
+    small = chosen.count() <= 8 * docs_per_class  # about two times docs_per_class rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = texts.join(F.broadcast(chosen) if small else chosen, "id").select("text", "label")
+    open_rate = min(1.0, docs_unlabelled / max(1, docs.count()))
+    other = sampled(texts.where("id is not null"), "id", open_rate, "unlabelled").select("text", F.lit(-1).alias("label"))
+    rows = materialize(named.union(other).withColumn("row", F.monotonically_increasing_id()), "voters")  # a bounded sample
+    toxic = sum(n for label, n in sizes.items() if label > 0)
+    return fit(rows.withColumn("label", F.least("label", F.lit(1))), float(np.clip(toxic / sum(sizes.values()), 0.01, 0.5)) if sizes else BALANCE)
+
+
+def fit(rows: DataFrame, balance: float = BALANCE) -> Model:
+    """The label model and the classifier from a sample of ``row, label, text``; a label is 1, 0 or -1 (none)."""
+    seeds = [f"={w}" for w in LEXICON]
+    ids, known, x = firings(rows, seeds)
+    if not len(ids):
+        votes = Votes(seeds)
+        return Model(votes, np.full(len(votes), 4.0), -3.0)
+    believed, _ = label_model(x > 0, np.full(len(ids), -1), balance=balance)
+    more = suggest(rows, set(ids[believed > 0.5].tolist()), dict(zip(*map(np.ndarray.tolist, np.unique(known, return_counts=True)), strict=True)))
+    votes = Votes(list(dict.fromkeys([*seeds, *more])))
+    _, known, x = firings(rows, votes.voters)
+    posterior, share = label_model(x > 0, known, balance=balance)
+    # Voters that share a vote get equal parts of what it weighs.
+    w, b = fit_linear(x * np.sqrt(share), posterior)
+    w = w * np.sqrt(share)
+    silent = ~x.any(axis=0)
+    w[silent] = np.median(w[~silent & (w > 0)]) if (~silent & (w > 0)).any() else 4.0  # never seen in the samples: as the others
+    return Model(votes, w, float(b))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, score, predicted`` for every row's whole text, with the columns named in ``keep`` after the id."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.votes.voters, model.weights, model.bias))
     lead = list(dict.fromkeys([id_col, *keep]))
+    no_clash(lead, "score", "predicted")
     at = lead.index(text_col) if text_col in lead else len(lead)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in lead) + ", score double, predicted int"
 

@@ -1,13 +1,15 @@
 """URL filter: a blocked Bloom filter before an exact hash join. Built of DataFrame and SQL functions only.
 
 A list holds canonical URL rules, each a host with a path (``example.com/de/``) and a verdict. A rule fits its host and all
-hosts below it, if the URL's path starts with the rule's. The keys a URL could match are its host suffixes joined with its
-path's beginnings, of the lengths that paths of the list have; those that the filter passes are joined with the list, which
-removes false positives. A URL with no possible hit never leaves its partition's row.
+hosts below it, if the URL's path starts with the rule's. The keys a URL could match are its host's last labels joined with
+its path's beginnings, of the numbers and lengths that hosts and paths of the list have; so a hostile URL of a million dots
+gives no more keys than another. Those that the filter passes are joined with the list, which removes false positives. A URL
+without a possible hit is no part of that join: it stays in its partition.
 
 Cases: a null URL or one without ``://`` has an empty host and path; no rule gives a null rule and the default verdict; of
 several fitting rules the longest wins, then the one with the longer host; a rule listed twice counts once, blocking first;
-an empty list gives every URL the default verdict; repeated rows give repeated results.
+an empty list gives every URL the default verdict; very long URLs are judged whole; repeated rows give repeated results;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,15 +71,18 @@ def canonical(rules: DataFrame, rule_col: str = "rule", verdict_col: str = "verd
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col, host, path, rule, verdict`` for every row; ``rules`` has the columns ``rule`` and ``verdict``."""
     listed = canonical(rules)
-    facts = listed.agg(F.count("*").alias("n"), F.collect_set("path_length").alias("lengths")).first()  # few lengths: a URL is short
+    of_host = F.size(F.split(F.substring_index("rule", "/", 1), "\\.", -1))
+    # Few numbers each: a host has few labels, a path a bounded length.
+    facts = listed.agg(F.count("*").alias("n"), F.collect_set("path_length").alias("lengths"), F.collect_set(of_host).alias("labels")).first()
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page"), host.alias("host"), path.alias("path"))
+    none = F.lit(None).cast("string")
     if not facts["n"]:
-        return rows.select(F.col("page").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return rows.select(F.col("page").alias(id_col), "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
     blocks = min(MAX_BLOCKS, 1 << max(4, (facts["n"] * BITS_PER_RULE // 64).bit_length()))
     words = bloom(listed.select(F.xxhash64("rule").alias("h")), blocks).scalar()
-    labels = F.split("host", "\\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit("")))
+    hosts = F.array_compact(F.array(*(F.when(dots + 1 >= k, F.substring_index("host", ".", -k)) for k in sorted(facts["labels"]))))
     lengths = F.filter(F.lit(sorted(facts["lengths"])), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(lengths, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
 
@@ -86,8 +91,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
         mask = mask_of(h)
         return F.element_at("words", block_of(h, blocks) + 1).bitwiseAND(mask) == mask
 
-    asked = rows.withColumn("words", words).withColumn("key", F.explode_outer(F.filter(keys, passes))).drop("words")
-    hit = asked.join(listed, asked["key"] == listed["rule"], "left")
+    asked = rows.withColumn("words", words).withColumn("keys", F.filter(keys, passes)).drop("words")
+    clean = asked.where(F.size("keys") == 0).select("page", "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
+    suspects = asked.where(F.size("keys") > 0).withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode("keys")).drop("keys")
+    hit = suspects.join(listed, suspects["key"] == listed["rule"], "left")
     longest = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("length"), "host_length", "rule", "verdict"))).alias("best")
     best = hit.groupBy("row", "page", "host", "path").agg(longest)
-    return best.select(F.col("page").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = best.select("page", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return clean.unionByName(judged).withColumnRenamed("page", id_col)

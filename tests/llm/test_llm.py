@@ -169,14 +169,15 @@ def test_paraphrases_and_odd_rows(spark, odd):
     words[3], words[9] = "hound", "as"
     rows = [(100, "Intro words. " + " ".join(words).upper() + "! And more."), (101, "nothing of it"), (102, " ".join(sorted(item.split())))]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()] == [(100, 1)]
+    docs = docs.union(spark.createDataFrame([(103, "first line\nToo SHORT!\nlast"), (104, "this is too short for that"), (105, " too\tshort ")], "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()) == [(100, 1), (103, 3), (105, 3)]
     assert decontam.leaks(docs, bench.limit(0)).collect() == [] and decontam.leaks(docs.limit(0), bench).collect() == []
 
 
 def test_candidates_are_those_of_the_cosine(spark, documents):
     """Every passage and item that the cosine and the cover let pass, also where an item's rarest words are replaced."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    index = decontam.build_index(documents, [tuple(r) for r in bench.orderBy("item_id").collect()], bench, "item_id", "text", "text")
+    index = decontam.build_index(documents, [tuple(r) for r in bench.orderBy("item_id").collect()], "text")
     rows = [(k, r.text) for k, r in enumerate(documents.orderBy("doc_id").limit(60).collect())]
     for k, (_, words) in enumerate(index.words):
         rare = sorted(set(words), key=lambda w: (-index.idf[index.place[w]], w))
@@ -301,11 +302,75 @@ def test_toxicity_cases(spark, odd, empty):
 
 
 def test_label_model_shares_votes_of_tied_voters():
-    fired = np.zeros((40, 3), bool)
-    fired[:20, 0] = fired[:20, 1] = True
-    fired[::2, 2] = True
-    _, share = toxicity.label_model(fired, np.full(40, -1))
-    assert list(share) == [0.5, 0.5, 1.0]
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    one, other = (rng.random(4000) < np.where(y, 0.6, 0.02) for _ in range(2))
+    _, share = toxicity.label_model(np.stack([one, one, other], axis=1), np.full(4000, -1))
+    assert np.allclose(share, [0.5, 0.5, 1.0], atol=0.02)
+
+
+def test_label_model_recovers_hidden_labels_better_than_a_majority():
+    """Nine voters repeat one poor vote, five are good and independent; a few labels anchor the rates."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    y = rng.random(n) < 0.25
+    poor = rng.random(n) < np.where(y, 0.55, 0.3)
+    copies = [poor ^ (rng.random(n) < 0.01) for _ in range(9)]
+    good = [rng.random(n) < np.where(y, 0.6, 0.03) for _ in range(5)]
+    fired = np.stack([*copies, *good], axis=1)
+    known = np.where(np.arange(n) < 300, y.astype(int), -1)
+    post, share = toxicity.label_model(fired, known, balance=0.25)
+    hidden = known < 0
+    of_model = ((post > 0.5) == y)[hidden].mean()
+    of_majority = max(((fired.sum(axis=1) >= k) == y)[hidden].mean() for k in range(1, 15))
+    assert of_model > of_majority and of_model > 0.93, (of_model, of_majority)
+    assert share[:9].max() < 0.2 < share[9:].min()
+    # A label is no part of a row's own posterior: rows with equal votes have equal posteriors.
+    _, group = np.unique(fired, axis=0, return_inverse=True)
+    assert all(np.ptp(post[group == g]) < 1e-9 for g in np.unique(group)[:200])
+
+
+def test_each_pattern_votes_alone(spark, odd):
+    votes = toxicity.Votes([])
+    for k, text in ((0, "so You're an idiot!"), (1, "what SCUM"), (2, "oh kill  yourself now"), (2, "Go\ndie"), (2, "shut up"), (2, "and DROP dead")):
+        assert votes.counts(text).get(k), text
+    assert set(votes.counts("die Frau go to the shop; he is dead, drop it")) == {-1}
+    model = toxicity.train(odd, spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert model.score("why don't you go die") > model.score("why don't you go home")
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Over all documents: the score is that of the plain sum over voters, and held-out labels are told."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    kept = docs.withColumn("held_out", queries.bucket_of("doc_id", 4) == 2)
+    model = toxicity.train(kept.where("not held_out"), spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op9_toxicity(spark, d).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        words = re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())
+        if re.search(r"[\u0300-\u036f]", texts[r.doc_id] or ""):
+            continue
+        z = model.bias
+        for v, name in enumerate(model.votes.voters):
+            n = sum(w == name[1:] if name[0] == "=" else len(name) in toxicity.BEGINNINGS and w.startswith(name) for w in words) if model.weights[v] else 0
+            z += model.weights[v] * (1 + np.log(n)) if n else 0.0
+        for k, p in enumerate(toxicity.PATTERNS):
+            n = len(re.findall(p, texts[r.doc_id] or ""))
+            z += model.weights[len(model.votes.voters) + k] * (1 + np.log(n)) if n else 0.0
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+    held = [(labels[r.doc_id], r.predicted) for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    # About 30 toxic rows teach four languages' words here; 0.95 is measured (0.9998 on 5,099 rows of a set 50 times as large).
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_kept_columns_with_an_outputs_name_are_refused(spark, odd):
+    model = toxicity.Model(toxicity.Votes([]), np.zeros(3), 0.0)
+    for make in (lambda: toxicity.score(odd, model, keep=("score",)), lambda: quality.score(odd, quality.Model([], [], 0.0), keep=("score",)), lambda: langid.identify(odd, langid.Model([], {}), keep=("score",)), lambda: linededup.dedup_lines(odd, carry=("kept",))):
+        with pytest.raises(ValueError, match="output's name"):
+            make()
 
 
 def test_quality_on_held_out_documents(spark):
