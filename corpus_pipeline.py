@@ -1,6 +1,7 @@
 """A corpus through five stages: toxicity, line dedup, near-dedup, benchmark decontamination, BPE.
 
-Each stage takes all rows its predecessor kept. The first four return the columns of ``documents``; the last one returns
+Each stage takes all rows its predecessor kept. Rows with a null text pass all stages and encode as an empty one; rows
+without an id take part but in near-dedup, where they stay; empty tables give empty results; further columns are carried. The first four return the columns of ``documents``; the last one returns
 ``doc_id, n_tokens, ids_sha256, decoded_sha256`` as the BPE operator gives them.
 """
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import bpe, decontam, linededup, minhash, toxicity
-from strata.llm.common import bucket_of, table
+from strata.llm.common import bucket_of, materialize, table
 from strata.llm.queries import tokenizer_path
 
 #: Ids of dropped documents that may go to every executor (8 bytes each, or 16 of a digest); with more, the texts are shuffled to them.
@@ -19,6 +20,7 @@ MAX_SHIPPED = 500_000
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents whose key is not among ``dropped``."""
+    dropped = materialize(dropped, "dropped")  # counted and joined, but made once
     few = dropped.count() <= MAX_SHIPPED
     return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
 
@@ -69,7 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage returns is written once, so that the passes of the next one don't run it again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
