@@ -1,19 +1,24 @@
 """MinHash near-dedup with tensored banding.
 
 Two collections of ``BANDS`` short bands are hashed; a table key is a pair of one band from each, so 2 x BANDS bands give
-BANDS squared tables. Documents travel once for each first band and meet their second bands inside the group. Pairs that
-share a table key and agree in enough of the sketch form blocks; within a block links are confirmed on full shingle sets.
+BANDS squared tables. Documents travel once for each first band and are split by their second bands inside the group; a
+first band with more rows than a task should hold is split before the shuffle, by the combined keys. Pairs that share a
+table key and agree in enough of the sketch form blocks; within a block links are confirmed on full shingle sets.
 
-Exact copies (equal shingle sets) are one class from the start. Inside a block a search by breadth visits each document
+Exact copies (equal shingle sets) are one class from the start. Inside a group a search by breadth visits each document
 once: what it links to leaves the rest, so a group of near copies costs about one comparison a document instead of one a
-pair, and no pair is left out, since every visited document is compared with all that are not yet in its component. Groups
-too large for a task are cut into chunks and dealt as pairs of chunks, each compared in full; their links meet again in
-the components.
+pair, and no pair is left out, since every visited document is compared with all that are not yet in its component.
+
+Groups too large for a task even so are cut into chunks, and the group's least document joins every chunk. What reaches it
+inside its chunk is one component already, so only the others go to all chunks and are compared with every document there.
+A million near copies thus travel about once, and links between any two are found: of a pair that isn't one component
+already, one document at least goes everywhere. (A huge group of unlike documents would go to all chunks, each in full.)
 
 The chance that a pair at the threshold shares no table key is 1 - (1 - (1 - J^2)^BANDS)^2: 5e-6 at J = 0.85, 7e-5 at 0.8.
 
 Cases: null and empty texts have no shingles, are linked with nothing and stay; texts with fewer words than a shingle are
-one shingle; rows that repeat an id are one document with several texts; rows without an id take no part and stay.
+one shingle; very long texts are taken whole; rows that repeat an id are one document with several texts; rows without an id
+take no part and stay; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize
+from strata.llm.common import join_sizes, materialize
 from strata.llm.components import components
 
 #: Bands of each collection, and hashes of a band.
@@ -40,6 +45,8 @@ CHUNK_SHINGLES = 4_000_000
 MEMORY = 200_000
 #: Documents in blocks up to which their list (24 bytes each) goes to every executor; beyond, the texts are shuffled to it.
 MAX_SHIPPED = 500_000
+#: Groups that are cut into chunks, up to which their list goes to every executor.
+MAX_LISTED = 1_000_000
 
 _ODD = np.random.default_rng(20_240_601).integers(1, 1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20_240_602).integers(1, 1 << 63, size=HASHES, dtype=np.uint64)
@@ -146,24 +153,103 @@ def visit(n: int, hits: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[i
     return edges
 
 
-def dealt(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Rows with ``deal``: their group, or for groups of several chunks each pair of chunks that holds the row's."""
-    chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.xxhash64(key, F.least(d, chunk), F.greatest(d, chunk)))
-    alone = F.array(F.xxhash64(key))
-    return rows.join(sizes, key, "left").withColumn("deal", F.explode(F.when(F.col("chunks") > 1, pairs).otherwise(alone))).drop("chunks")
+#: Links within a group: from the sizes and payloads of its rows, a spanning forest of the relation.
+Linker = Callable[[np.ndarray, list[bytes]], list[tuple[int, int]]]
+
+
+def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def linked(rows: DataFrame, link: Linker) -> DataFrame:
+    """Edges ``a, b`` in each group of ``key, id, n, load``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            key, ids, n = (table.column(k).to_numpy() for k in range(3))
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            found = []
+            for k, m in zip(start, np.diff(np.append(start, len(key))), strict=True):
+                own, first = np.unique(ids[k : k + m], return_index=True)
+                if len(own) > 1:
+                    load = table.column(3).slice(k, m).to_pylist()
+                    if edges := link(n[k : k + m][first], [load[j] for j in first]):
+                        found.append(own[np.array(edges).T])
+            yield batch_of(found)
+
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint")
+
+
+def apart(rows: DataFrame, chunks: DataFrame, link: Linker) -> DataFrame:
+    """Edges of groups (``key, id, n, load``) too large for a task; ``chunks`` has ``key, chunks``, listed as few."""
+    rows = materialize(rows.join(chunks, "key"), "apart")
+    deal = lambda c: F.xxhash64("key", c)
+    everywhere = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64("key", c)))
+    at_home = rows.withColumn("deal", deal(F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int"))).withColumn("pivot", F.lit(False))
+    pivots = rows.groupBy("key", "chunks").agg(F.min(F.struct("id", "n", "load")).alias("p")).select("key", "p.*", "chunks").withColumn("deal", everywhere).withColumn("pivot", F.lit(True))
+    names = ["deal", "key", "id", "n", "load", "chunks", "pivot"]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            one, ids, n = (table.column(k).to_numpy() for k in (0, 2, 3))
+            lead = table.column(6).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+            found, rest = [], []
+            for k, m in zip(start, np.diff(np.append(start, len(one))), strict=True):
+                own, first = np.unique(ids[k : k + m], return_index=True)
+                load = table.column(4).slice(k, m).to_pylist()
+                edges = link(n[k : k + m][first], [load[j] for j in first])
+                if edges:
+                    found.append(own[np.array(edges).T])
+                up = list(range(len(own)))
+
+                def root(x: int, up: list[int] = up) -> int:
+                    while up[x] != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for x, y in edges:
+                    up[root(x)] = root(y)
+                main = root(int(np.searchsorted(own, ids[k : k + m][lead[k : k + m]][0])))
+                rest += [k + int(first[x]) for x in range(len(own)) if root(x) != main]
+            edges = batch_of(found)
+            left = table.take(pa.array(rest, pa.int64())).select(["key", "id", "n", "load", "chunks"])
+            none = lambda size, t: pa.nulls(size, t)
+            yield pa.RecordBatch.from_arrays([*edges.columns, *(none(edges.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["a", "b", "key", "id", "n", "load", "chunks"])
+            for part in left.to_batches():
+                yield pa.RecordBatch.from_arrays([none(part.num_rows, pa.int64()), none(part.num_rows, pa.int64()), *part.columns], names=["a", "b", "key", "id", "n", "load", "chunks"])
+
+    first = at_home.select(names).unionByName(pivots.select(names)).repartition("deal").sortWithinPartitions("deal", "id")
+    met = materialize(first.mapInArrow(settle, "a bigint, b bigint, key bigint, id bigint, n bigint, load binary, chunks int"), "met")
+    edges, rest = met.where("a is not null").select("a", "b"), met.where("key is not null").drop("a", "b")
+    homes = at_home.join(F.broadcast(rest.select("key").distinct()), "key", "left_semi")  # some of the groups that are listed
+    again = rest.select(everywhere.alias("key"), "id", "n", "load").unionByName(homes.select(F.col("deal").alias("key"), "id", "n", "load"))
+    return edges.unionByName(linked(again, link))
+
+
+def listed(sizes: DataFrame, tag: str) -> DataFrame:
+    """The groups that are cut, written once, and broadcast where they are few enough for it."""
+    sizes = materialize(sizes, tag)
+    return F.broadcast(sizes) if sizes.count() <= MAX_LISTED else sizes
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges ``a, b`` that join all documents of a first band which share a table key and agree in the sketch."""
-    rows = reps.select("id", "n", "sketch", F.explode("keys").alias("key"))
-    large = rows.groupBy("key").count().where(F.col("count") > CHUNK_ROWS).select("key", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
+    """Edges ``a, b`` that join all documents which share a table key and agree in the sketch."""
+    rows = reps.select("id", "n", F.col("sketch").alias("load"), F.explode("keys").alias("key"))
+    chunks = F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks")
 
     def near(p: int, rest: np.ndarray, n: np.ndarray, s: np.ndarray, b: np.ndarray) -> np.ndarray:
         fits = (100 * np.minimum(n[rest], n[p]) >= percent * np.maximum(n[rest], n[p])) & (b[rest] == b[p]).any(axis=1)
         fits[fits] = (s[rest[fits]] == s[p]).sum(axis=1) >= AGREE
         return fits
 
+    def link(n: np.ndarray, sketch: list[bytes]) -> list[tuple[int, int]]:
+        s = np.frombuffer(b"".join(sketch), np.uint16).reshape(len(n), HASHES)
+        b = np.ascontiguousarray(s[:, HASHES // 2 :]).view(np.uint32)
+        return visit(len(n), lambda p, rest: near(p, rest, n, s, b))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
             key, ids, n = (table.column(k).to_numpy() for k in range(3))
@@ -180,41 +266,43 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
                 part = slice(k, k + m)
                 if edges := visit(m, lambda p, rest, part=part: near(p, rest, n[part], s[part], b[part])):
                     found.append(ids[part][np.array(edges).T])
-            out = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+            yield batch_of(found)
 
-    spread = dealt(rows, large, "key").select("deal", "id", "n", "sketch").repartition("deal").sortWithinPartitions("deal", "id")
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+    within = lambda x: x.select("key", "id", "n", "load").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint")
+    large = materialize(rows.groupBy("key").count().where(F.col("count") > CHUNK_ROWS).select("key"), "large")
+    if large.isEmpty():
+        return within(rows).distinct()
+    hot = listed(large, "hot")
+    second = [F.xxhash64("key", F.lit(j), F.substring("load", HASHES + 4 * j + 1, 4)) for j in range(BANDS)]
+    combined = materialize(rows.join(hot, "key", "left_semi").select(F.explode(F.array(*second)).alias("key"), "id", "n", "load"), "combined")
+    cut = listed(combined.groupBy("key").count().where(F.col("count") > CHUNK_ROWS).select("key", chunks), "cut")
+    found = within(rows.join(hot, "key", "left_anti").unionByName(combined.join(cut, "key", "left_anti").select(rows.columns)))
+    return found.unionByName(apart(combined, cut, link)).distinct()
 
 
 def confirmed(docs: DataFrame, blocks: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links ``a, b`` on full shingle sets: a spanning forest of each block, or of each pair of its chunks."""
+    """Links ``a, b`` on full shingle sets: a spanning forest of each block."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             own = [shingler.shingles(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["block", "id", "n", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["key", "id", "n", "load"])
+
+    def link(n: np.ndarray, own: list[bytes]) -> list[tuple[int, int]]:
+        return link_sets(n, own, percent)
 
     members = F.broadcast(blocks) if blocks.count() <= MAX_SHIPPED else blocks
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, "id").select("block", "id", "text")
-    rows = texts.mapInArrow(sets, "block bigint, id bigint, n bigint, own binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, "id").select("block", "id", "text", "size")
     chunks = F.ceil(F.greatest(F.col("members") / CHUNK_ROWS, F.col("mass") / CHUNK_SHINGLES)).cast("int")
-    large = materialize(blocks.groupBy("block").agg(F.count("*").alias("members"), F.sum("size").alias("mass")).select("block", chunks.alias("chunks")).where("chunks > 1"), "large")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
-            key, ids, n = (table.column(k).to_numpy() for k in range(3))
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            found = [np.zeros((2, 0), np.int64)]
-            for k, m in zip(start, np.diff(np.append(start, len(key))), strict=True):
-                if m > 1 and (edges := link_sets(n[k : k + m], table.column(3).slice(k, m).to_pylist(), percent)):
-                    found.append(ids[k : k + m][np.array(edges).T])
-            out = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
-
-    spread = dealt(rows, large, "block").select("deal", "id", "n", "own").repartition("deal").sortWithinPartitions("deal", "id")
-    return spread.mapInArrow(run, "a bigint, b bigint")
+    large = materialize(blocks.groupBy(F.col("block").alias("key")).agg(F.count("*").alias("members"), F.sum("size").alias("mass")).select("key", chunks.alias("chunks")).where("chunks > 1"), "large")
+    shape = "key bigint, id bigint, n bigint, load binary"
+    if large.isEmpty():
+        return linked(texts.select("block", "id", "text").mapInArrow(sets, shape), link)
+    cut = listed(large, "cut")
+    marked = texts.withColumnRenamed("block", "key")
+    small = marked.join(cut, "key", "left_anti").select("key", "id", "text").mapInArrow(sets, shape)
+    return linked(small, link).unionByName(apart(marked.join(cut.select("key"), "key", "left_semi").select("key", "id", "text").mapInArrow(sets, shape), cut, link))
 
 
 def link_sets(n: np.ndarray, own: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -249,13 +337,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links reach, and a document is kept if that is its own.
     """
     every = materialize(sketches(docs, shingle, id_col, text_col), "sketches")
-    classes = every.where("n > 0 and id is not null").groupBy("mark").agg(F.min("id").alias("rep"))
+    classes = every.where("n > 0 and id is not null").groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     reps = every.alias("e").join(classes.alias("c"), (F.col("e.id") == F.col("c.rep")) & (F.col("e.mark") == F.col("c.mark"))).select("e.id", "e.n", "e.keys", "e.sketch")
     blocks = components(candidates(reps, percent)).withColumnRenamed("component", "block")
     sizes = every.where("n > 0").groupBy("id").agg(F.max("n").alias("size"))
     blocks = materialize(blocks.join(sizes, "id"), "blocks")
     found = components(confirmed(docs, blocks, shingle, percent, id_col, text_col))
-    of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    joined = every.select("id", "n", "mark").join(of_class, "mark", "left")
+    of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"), "n")
+    takes_part = F.col("mark").isNotNull() & F.col("id").isNotNull()
+    rows = every.select("id", F.col("n").alias("shingles"), "mark")
+    joined = join_sizes(rows.where(takes_part), materialize(of_class, "classes"), "mark", rows.count(), "left").select("id", "shingles", "component")
+    joined = joined.unionByName(rows.where(~takes_part).select("id", "shingles", F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return joined.select(F.col("id").alias(id_col), F.col("shingles").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

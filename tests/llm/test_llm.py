@@ -84,10 +84,20 @@ def test_near_duplicates_equal_brute_force(spark, size, percent):
 
 
 def test_large_groups_in_chunks_lose_no_link(spark, monkeypatch):
+    """Groups cut at 16 rows, hubs from 5 neighbours on, and broadcasts: with each way beyond them."""
+    from strata.llm import common
+
+    texts = near_texts(9, 200) | {1000 + k: "one and the same text of a large class" for k in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = {i: c for i, (_, c) in brute_components(texts, 3, 85).items()}
     monkeypatch.setattr(minhash, "CHUNK_ROWS", 16)
-    texts = near_texts(9, 200)
-    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 3, 85).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_components(texts, 3, 85).items()}
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()} == want
+    monkeypatch.setattr(minhash, "MAX_LISTED", 0)
+    monkeypatch.setattr(minhash, "MAX_SHIPPED", 0)
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 3)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()} == want
 
 
 def test_near_duplicates_of_odd_rows(odd, empty):
