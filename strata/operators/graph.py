@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.text import csv_field
+
 #: Names that count as built in when a dropped call goes to them.
 BUILTINS = (
     "len isinstance print str int float bool list dict set tuple range enumerate zip map filter sorted min max sum abs open repr hasattr getattr setattr super type vars iter next format "
@@ -117,3 +119,27 @@ def scan_coverage(unparsed: DataFrame) -> DataFrame:
     """
     sizes = unparsed.groupBy("reason").agg(F.count("*").alias("n"))
     return unparsed.join(F.broadcast(sizes), "reason").select("reason", "file", "n")
+
+
+def impact_stages(ranked: DataFrame, stages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``file, stage, degree, functions`` of the files of an impact graph; a file of no stage is ``unassigned``.
+
+    The ranked files are at most 200 (see :func:`impact`).
+    """
+    counts = nodes.join(F.broadcast(ranked.select("file")), "file", "left_semi").groupBy("file").agg(F.count("*").alias("functions"))
+    rows = ranked.join(stages, "file", "left").join(counts, "file", "left")
+    return rows.select("file", F.coalesce("stage", F.lit("unassigned")).alias("stage"), "degree", F.coalesce("functions", F.lit(0)).cast("long").alias("functions"))
+
+
+def csv_lines(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """``id, line``: internal functions as lines of a CSV file, fields quoted only where they must be."""
+    fields = [csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    return nodes.where("kind = 'internal'").select("id", F.concat_ws(",", *fields).alias("line"))
+
+
+def dot_edges(edges: DataFrame) -> DataFrame:
+    """``caller, callee, line``: kept calls as edges of a DOT file; awaited ones are blue, those to the outside dashed."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    marks = F.concat_ws(", ", F.when(F.col("is_await"), 'color="#1a73e8"'), F.when(F.col("call_type").isin("boundary", "boundary_constructor"), "style=dashed"))
+    line = F.concat(F.lit("  "), quoted("caller"), F.lit(" -> "), quoted("callee"), F.when(marks != "", F.concat(F.lit(" ["), marks, F.lit("]"))).otherwise(""), F.lit(";"))
+    return kept(edges).select("caller", "callee", line.alias("line"))

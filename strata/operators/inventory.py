@@ -92,3 +92,17 @@ def match_loosely(named: DataFrame, valid: DataFrame) -> DataFrame:
     loose = rest.withColumn("base", base(F.col("named"))).join(valid.withColumn("base", base(F.col("path"))), "base").where("endswith(path, concat('/', named))")
     only = loose.groupBy("named").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
     return exact.select("named", "path").unionByName(only.select("named", "path"))
+
+
+def card_done(detail: str) -> Column:
+    """Whether a card (``purpose, description, parts``, the latter its functions' purposes) is complete for a depth."""
+    brief = F.coalesce("purpose", F.lit("")) != ""
+    if detail == "brief":
+        return brief
+    return brief & ((F.coalesce("description", F.lit("")) != "") | F.coalesce(F.exists("parts", lambda p: p != ""), F.lit(False)))
+
+
+def card_detail(cards: DataFrame) -> DataFrame:
+    """``detail``: deep if any card has functions or a description, else brief, also of no cards."""
+    deep = (F.coalesce("description", F.lit("")) != "") | (F.coalesce(F.size("parts"), F.lit(0)) > 0)
+    return cards.agg(F.when(F.bool_or(deep), "deep").otherwise("brief").alias("detail"))
