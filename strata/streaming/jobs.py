@@ -17,7 +17,8 @@ def progress(events: DataFrame) -> DataFrame:
     rows = events.select("job", "seq", F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("done"), F.sum("weight").over(whole).alias("total"), (F.unix_micros("ts") - F.unix_micros(F.min("ts").over(whole))).alias("spent"))
     pct = F.when(F.col("total") == 0, 100).otherwise(F.floor(100 * F.col("done") / F.col("total") + 0.5)).cast("int")
     eta = F.when(F.col("done") > 0, F.col("spent") / 1e6 / F.col("done") * (F.col("total") - F.col("done")))
-    return rows.select("job", "seq", F.col("done").cast("long").alias("done"), pct.alias("pct"), F.round(eta, 6).alias("eta"))
+    # Rounded as a double, in micros: rounding by decimals gives another last digit where the product is close to a half.
+    return rows.select("job", "seq", F.col("done").cast("long").alias("done"), pct.alias("pct"), (F.round(eta * 1e6) / 1e6).alias("eta"))
 
 
 def scope_progress(snapshots: DataFrame) -> DataFrame:
