@@ -197,3 +197,58 @@ def escape_html(text: Column) -> Column:
     for a, z in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(z))
     return text
+
+
+def join_key(prefix: Column, key: Column) -> Column:
+    """``readWorkers`` under ``generate`` as ``generateReadWorkers``; an empty prefix leaves the key alone."""
+    return F.when(prefix == "", key).otherwise(F.concat(prefix, F.upper(F.substring(key, 1, 1)), F.substring(key, F.lit(2), F.length(key))))
+
+
+def scoped_env_name(app: str, command: Column, key: Column) -> Column:
+    """``APP_COMMAND_READ_WORKERS``, or ``APP_READ_WORKERS`` where the command is empty."""
+    return F.concat(F.lit(app + "_"), F.when(command == "", "").otherwise(F.concat(F.upper(command), F.lit("_"))), screaming_snake(key))
+
+
+def short_description(title: Column, description: Column) -> Column:
+    """``title: `` and the description up to its first full stop before a space, or ideographic full stop."""
+    return F.concat(title, F.lit(": "), F.element_at(F.split(description, r"(?<=\.)\s|。"), 1))
+
+
+def close_fence(plan: Column) -> Column:
+    """``text, repaired``: a plan whose last code fence stays open gets it closed by the fence that opened it."""
+    form = r"^[ \t]*(`{3,}|~{3,})(.*)$"
+
+    def step(opened: Column, line: Column) -> Column:
+        mark, info = F.regexp_extract(line, form, 1), F.regexp_extract(line, form, 2)
+        closes = (F.substring(mark, 1, 1) == F.substring(opened, 1, 1)) & (F.length(mark) >= F.length(opened)) & (F.trim(info) == "")
+        return F.when(mark == "", opened).when(opened == "", mark).when(closes, "").otherwise(opened)
+
+    opened = F.aggregate(F.split(plan, r"\r?\n"), F.lit(""), step)
+    closed = F.concat(F.regexp_replace(plan, r"\s+\z", ""), F.lit("\n"), opened, F.lit("\n"))
+    return F.struct(F.when(opened == "", plan).otherwise(closed).alias("text"), (opened != "").alias("repaired"))
+
+
+def numbered_lines(text: Column, first: Column, last: Column, most: int = 60_000) -> Column:
+    """Lines ``first`` to ``last`` (null: from the first, to the last one), numbered in five places; a longer answer is cut and says so."""
+    lines = F.split(text, "\n")
+    start = F.greatest(F.lit(1), F.coalesce(first, F.lit(1))).cast("int")
+    end = F.least(F.size(lines), F.coalesce(last, F.size(lines))).cast("int")
+    chosen = F.slice(lines, start, F.greatest(end - start + 1, F.lit(0)))
+    number = lambda k: F.concat(F.repeat(F.lit(" "), F.greatest(5 - F.length((start + k).cast("string")), F.lit(0))), (start + k).cast("string"))
+    whole = F.array_join(F.transform(chosen, lambda line, k: F.concat(number(k), F.lit("|"), line)), "\n")
+    return F.concat(truncate(whole, most), F.when(F.length(whole) > most, "\n… (truncated — request a narrower line range)").otherwise(""))
+
+
+#: The phases, and what stands for several of them.
+PHASES = ("1", "2a", "2b", "2c", "3")
+PHASE_GROUPS = {"all": PHASES, "2": ("2a", "2b", "2c")}
+
+
+def expand_phases(spec: Column) -> Column:
+    """``phases, problem``: the phases a comma list names, in its order; an unknown word or an empty list is a problem."""
+    words = F.filter(F.transform(F.split(F.lower(spec), ","), lambda w: F.trim(w)), lambda w: w != "")
+    unknown = F.filter(words, lambda w: ~w.isin(*PHASES, *PHASE_GROUPS))
+    named = lambda w: F.when(w == "all", F.array(*map(F.lit, PHASES))).when(w == "2", F.array(*map(F.lit, PHASE_GROUPS["2"]))).otherwise(F.array(w))
+    phases = F.array_distinct(F.flatten(F.transform(words, named)))
+    problem = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown phase "), F.element_at(F.when(F.size(unknown) > 0, unknown), 1))).when(F.size(words) == 0, "no phases")
+    return F.struct(F.when(problem.isNull(), phases).alias("phases"), problem.alias("problem"))
