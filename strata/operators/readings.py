@@ -12,6 +12,8 @@ from strata.operators.replies import text_at
 #: names shown of each kind of relation, and keys shown of an object. No token repeats a group: Java's matcher would recurse.
 PATTERN_TOKEN = r"\[[^\]]*\]?|\(|\)(?:[+*]|\{\d*,\s*\})?|[+*]|\{\d*,\s*\}"
 NAMES_SHOWN, KEYS_SHOWN = 10, 8
+#: Names under which any reply may put its list.
+GENERIC_KEYS = ("items", "entries", "results", "data", "list")
 
 
 def anchors(nodes: DataFrame) -> DataFrame:
@@ -51,6 +53,32 @@ def pick_string(value: Column, *keys: str) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_replace(text_at(value, f"$.{k}"), r"(?U)^\s+|\s+$", ""), F.lit("")) for k in keys))
 
 
+def entry_list(json: Column, *keys: str, fields: tuple[str, ...] = ()) -> Column:
+    """The objects of the list that JSON text holds, as JSON texts; an empty array if there is none, also for broken text.
+
+    The list is the text itself, or stands under one of ``keys``, then under a generic name, then under one of ``keys`` in an
+    object one level down. Lists without an object don't count, and other values in a list are left out. An object with one of
+    ``fields`` (null counts) and no list is the only entry.
+    """
+    entries = "map<string,variant>"
+    value = F.try_parse_json(json)
+    texts = lambda v: F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x).startswith("OBJECT")), lambda x: F.to_json(x))
+    some = lambda v: F.filter(F.array(texts(v)), lambda found: F.size(found) > 0)
+    top = F.try_variant_get(value, "$", entries)
+    inner = F.transform(F.json_object_keys(json), lambda k: F.try_variant_get(F.try_element_at(top, k), "$", entries))  # in the text's order
+    under = lambda m, names: F.flatten(F.array(*(some(F.try_element_at(m, F.lit(k))) for k in names)))
+    nested = F.flatten(F.transform(F.filter(inner, lambda m: m.isNotNull()), lambda m: under(m, keys))) if keys else F.array().cast("array<array<string>>")
+    single = F.coalesce(F.arrays_overlap(F.map_keys(top), F.array(*map(F.lit, fields))), F.lit(False)) if fields else F.lit(False)
+    none = F.array().cast("array<string>")
+    return F.coalesce(
+        F.try_element_at(some(value), F.lit(1)),
+        F.try_element_at(under(top, (*keys, *GENERIC_KEYS)), F.lit(1)),
+        F.try_element_at(nested, F.lit(1)),
+        F.when(single, F.array(F.to_json(value))),
+        none,
+    )
+
+
 def json_shape(json: Column) -> Column:
     """What JSON text is at its top; null, broken text and a JSON null are no JSON."""
     kind = F.schema_of_variant(F.try_parse_json(json))

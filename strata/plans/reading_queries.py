@@ -96,3 +96,27 @@ def st32(spark: SparkSession, d: str) -> DataFrame:
     key = F.expr("cast(substr(id, 2) as int)")
     own = F.when(F.col("id").startswith("n"), F.concat(F.when(key % 2 == 0, "x.").otherwise("x_"), F.floor(key / 2).cast("string"))).otherwise(F.col("id"))
     return readings.stage_map(b.stages(spark, d).select(own.alias("id"), "parent", F.col("ord").alias("place"), F.concat("title", F.lit(' \n"q" ')).alias("title"), "crosscut"))
+
+
+@query(
+    "st23_entry_lists",
+    """SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CASE WHEN event_id % 6 = 1 THEN 2 ELSE 1 END ELSE 0 END AS n,
+  CASE WHEN event_id % 6 < 5 THEN event_type || '|' || user_id ELSE '' END AS first FROM events""",
+)
+def st23(spark: SparkSession, d: str) -> DataFrame:
+    """Events as replies of six forms: a bare object, a list, a named list, a generic one, one in a wrapper, and a list of words."""
+    k = F.col("event_id") % 6
+    row = F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("who"))
+    one, words = F.array(row), F.array(F.col("event_type"))
+    json = (
+        F.when(k == 0, F.to_json(row))
+        .when(k == 1, F.to_json(F.array(row, row)))
+        .when(k == 2, F.to_json(F.struct(words.alias("data"), one.alias("events"))))
+        .when(k == 3, F.to_json(F.struct(words.alias("events"), one.alias("list"))))
+        .when(k == 4, F.to_json(F.struct(F.struct(one.alias("events")).alias("result"))))
+        .otherwise(F.to_json(words))
+    )
+    found = readings.entry_list(json, "events", fields=("kind",))
+    first = F.try_element_at(found, F.lit(1))
+    said = F.concat_ws("|", F.get_json_object(first, "$.kind"), F.get_json_object(first, "$.who"))
+    return b.table(spark, d, "events").select("event_id", F.size(found).alias("n"), said.alias("first"))

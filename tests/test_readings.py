@@ -70,3 +70,25 @@ def test_anchors_and_spans(spark):
     df = spark.createDataFrame(rows, "file string, qualname string, line_start int, line_end int, synthetic boolean, kind string")
     assert sorted(r["qualname"] for r in readings.anchors(df).collect()) == ["q", "r"]
     assert {tuple(r) for r in readings.line_spans(df).collect()} == {("f", 1, 2), ("f", 0, 2), (None, 4, 5)}
+
+
+def test_entry_list(spark):
+    cases = [
+        ('[{"f": 1}, 2, [{}], null, {"g": "x"}]', ['{"f":1}', '{"g":"x"}']),
+        ("[1, 2]", []),
+        ('{"items": [{"f": 1}], "files": [{"f": 2}]}', ['{"f":2}']),
+        ('{"files": ["a"], "data": [{"f": 3}]}', ['{"f":3}']),
+        ('{"z": {"files": [{"f": 4}]}, "a": {"files": [{"f": 5}]}}', ['{"f":4}']),
+        ('{"z": {"items": [{"f": 4}]}}', []),
+        ('{"z": {"y": {"files": [{"f": 4}]}}}', []),
+        ('{"path": null, "n": 1}', ['{"n":1,"path":null}']),
+        ('{"n": 1}', []),
+        ('"text"', []),
+        ("null", []),
+        ("broken", []),
+        ("", []),
+        (None, []),
+    ]
+    got = of(spark, readings.entry_list(F.col("x"), "files", fields=("path",)), [c for c, _ in cases])
+    assert got == [e for _, e in cases]
+    assert of(spark, readings.entry_list(F.col("x")), ['{"files": [{"f": 1}]}', '{"list": [{"f": 1}]}', '{"path": 1}']) == [[], ['{"f":1}'], []]
