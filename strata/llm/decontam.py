@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the corpus counts the document frequencies of the benchmark's words over all passages (overlapping windows),
-   and draws a bounded sample of passages.
-2. The sampled passages of the corpus and the benchmark's own are TF-IDF rows; a distributed randomised SVD (random range, two
-   power steps; each step is a sum over the tasks' rows) gives a latent space of far fewer dimensions than rows and words.
-3. A second pass folds every passage of the corpus into that space; a blocked matrix product with the items gives the cosines,
-   and so the candidate items, of each. Left out are pairs that can't be leaks whatever their cosine: a common subsequence is
+1. One pass over the corpus reads its words: it counts the passages (overlapping windows) that hold each of the benchmark's
+   words, and writes every document as the places of its words in the benchmark, which is all that later passes read.
+2. All passages of the corpus and the benchmark's own are TF-IDF rows; a distributed randomised SVD (random range, two power
+   steps; each step is a pass over all rows, summed by task) gives a latent space of far fewer dimensions than rows and words.
+3. A last pass folds passages of the corpus into that space; a blocked matrix product with the items gives the cosines, and
+   so the candidate items, of each. Left out are pairs that can't be leaks whatever their cosine: a common subsequence is
    no longer than the item's words that occur in the document, or in the passage's surroundings, at all.
 4. A candidate is a leak if the longest common subsequence of words covers ``FULL_COVER`` of the item, or ``COVER`` of it and
    enough of its answer, which is the item's last words. So copies, also without an end, copies with changes of case,
@@ -20,10 +20,11 @@ repeated rows of a document give one row for each; further columns are ignored,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +38,16 @@ WINDOW, STRIDE = 32, 16
 MIN_WORDS = 5
 #: Dimensions of the latent space, spare ones of the random range, and power steps.
 RANK, SPARE, STEPS = 96, 16, 2
-#: The SVD's sample: about as many passages as so many documents have on average.
-SAMPLE_DOCS = 500
+#: Tasks of a power step at least; each sends one row for every word of the block that it has.
+STEP_TASKS = 32
 #: Least cosine of a candidate, and least cover of an item and of its answer by the common subsequence.
 COSINE, COVER, ANSWER_COVER = 0.35, 0.6, 0.5
 #: Cover of an item that makes a leak whatever the cover of its answer.
 FULL_COVER = 0.65
 #: The last words of an item that count as its answer.
 ANSWER_WORDS = 6
-#: Passages folded at once, and weights of a word by its count in one.
-PASSAGES = 128
+#: Passages taken at once, as with more the share of words that each lacks grows, and weights of a word by its count in one.
+PASSAGES = 24
 LOGS = np.append(0.0, 1 + np.log(np.arange(1, WINDOW + 1)))
 #: Benchmark items up to which the index goes to every executor; more are searched in several blocks of so many.
 ITEMS_PER_BLOCK = 20_000
@@ -75,14 +76,18 @@ class Index:
             if 0 < len(w) < MIN_WORDS:
                 self.short.setdefault(tuple(w), []).append(item)
         self.place = {w: k for k, w in enumerate(dict.fromkeys(w for _, own in self.words for w in own))}
-        self.codes = [np.array([self.place[w] for w in own], np.int64) for _, own in self.words]
+        self.codes = [np.array([self.place[w] for w in own], np.int32) for _, own in self.words]
+        self.kind = np.int16 if len(self.place) <= np.iinfo(np.int16).max else np.int32  # of places that are written
         self.idf = self.basis = self.latent = None
 
     def codes_of(self, text: str | None) -> np.ndarray:
         """Each word's place in the index, or -1."""
-        get = self.place.get
         words = words_of(text)
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+
+    def short_in(self, text: str | None) -> list[int | None]:
+        """Items of fewer than ``MIN_WORDS`` words that are a whole line."""
+        return list({item: None for line in (text or "").split("\n") for item in self.short.get(tuple(words_of(line)), ())}) if self.short else []
 
 
 def passages(codes: np.ndarray) -> np.ndarray:
@@ -90,62 +95,63 @@ def passages(codes: np.ndarray) -> np.ndarray:
     return np.arange(0, max(1, len(codes) - WINDOW + STRIDE), STRIDE)
 
 
-def passage_pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct pairs of a passage and a known word, and the number of passages."""
-    n = len(passages(codes))
-    at = np.flatnonzero(codes >= 0)
-    w, last = at // STRIDE, WINDOW // STRIDE
-    pairs = np.concatenate([np.stack([w - k, codes[at]]) for k in range(last)], axis=1)
-    pairs = pairs[:, (pairs[0] >= 0) & (pairs[0] < n)]
-    if not pairs.shape[1]:
-        return pairs[0], pairs[1], n
-    flat = np.unique(pairs[0] * (int(codes.max()) + 1) + pairs[1])
-    return flat // (int(codes.max()) + 1), flat % (int(codes.max()) + 1), n
+def distinct_words(codes: np.ndarray) -> np.ndarray:
+    """The distinct known words of every passage, on end."""
+    n, last = len(passages(codes)), WINDOW // STRIDE
+    parts = np.full((n + last - 1) * STRIDE, -1, np.int32)
+    parts[: len(codes)] = codes
+    parts = parts.reshape(-1, STRIDE)
+    rows = np.sort(np.concatenate([parts[k : k + n] for k in range(last)], axis=1), axis=1)
+    first = rows >= 0
+    first[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+    return rows[first]
 
 
-def passage_frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[np.ndarray, int, DataFrame]:
-    """For each word of the index, the passages of the whole corpus that hold it; the number of all passages; and sampled ones.
+def encoded(docs: DataFrame, index: Index, id_col: str, text_col: str) -> tuple[np.ndarray, int, DataFrame]:
+    """For each word of the index, the passages of the whole corpus that hold it; the number of all passages; and every document.
 
-    The sample (``codes``, a passage's known words) is drawn by a hash of the text, the row and the passage's number, so
-    that an executor that is lost draws the same again.
+    Documents (``id, codes, short``: the places of the words as integers of the index's kind, and the short items found) are left
+    out only if they hold no word of the index and no short item.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(index)
     size = len(index.place)
-    under = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * float(1 << 32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total, row = np.zeros(size, np.int64), 0, 0
-        names, types = ["word", "n", "codes"], (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        index, counts, total = shipped.value, np.zeros(size + 1, np.int64), 0
+        names, kind = ["id", "codes", "short", "word", "n"], pa.null()
         for batch in batches:
-            drawn = []
-            for value in batch.column(0):
-                row += 1
+            kind = batch.schema.field(0).type
+            at, kept, short, words, held = [], [], [], [], 0
+            for row, value in enumerate(batch.column(1)):
                 text = value.as_py()
-                codes = shipped.value.codes_of(text)
-                if not len(codes):
-                    continue
-                _, words, n = passage_pairs(codes)
-                counts += np.bincount(words, minlength=size)
-                total += n
-                seed = (xxhash.xxh3_64_intdigest(text[:1000].encode("utf-8", "replace")) + row * 0x9E3779B97F4A7C15) % (1 << 64)
-                unit = (np.arange(n, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-                for k in np.flatnonzero((unit >> np.uint64(32)) < under).tolist():
-                    own = codes[k * STRIDE : k * STRIDE + WINDOW]
-                    if len(own := own[own >= 0]):
-                        drawn.append(own.tolist())
-            if drawn:
-                none = [None] * len(drawn)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, drawn), types, strict=True)], names=names)
-        at = np.append(np.flatnonzero(counts), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(counts[counts > 0], total)), pa.nulls(len(at), types[2])], names=names)
-
-    made = materialize(docs.select(text_col).mapInArrow(run, "word bigint, n bigint, codes array<int>"), "passages")
-    rows = made.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        if r["word"] >= 0:
-            out[r["word"]] = r["n"]
-    return out, next((r["n"] for r in rows if r["word"] == -1), 0), made.where("codes is not null").select("codes")
+                codes = index.codes_of(text)
+                if len(codes):
+                    words.append(distinct_words(codes))
+                    held += len(words[-1])
+                    total += len(passages(codes))
+                    found = index.short_in(text)
+                    if found or len(words[-1]):
+                        at.append(row)
+                        kept.append(codes.astype(index.kind).tobytes())
+                        short.append(found)
+                if held > 1 << 18:
+                    counts += np.bincount(np.concatenate(words), minlength=size + 1)
+                    words, held = [], 0
+            if words:
+                counts += np.bincount(np.concatenate(words), minlength=size + 1)
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kept, pa.binary()), pa.array(short, pa.list_(pa.int64())), none, none], names=names)
+        counts[size] = total
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at), pa.array(counts[at])], names=names)
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    made = materialize(docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, codes binary, short array<bigint>, word bigint, n bigint"), "passages")
+    out = np.zeros(size + 1, np.int64)
+    for r in made.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out[:size], int(out[size]), made.where("codes is not null").select("id", "codes", "short")
 
 
 def tfidf(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,15 +161,31 @@ def tfidf(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, weight / (np.linalg.norm(weight) or 1.0)
 
 
-def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """An orthonormal basis (words x dimensions) of the latent space of ``codes`` rows.
+def weighted(codes: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct known words of these, and their TF-IDF weights in each of the first n passages."""
+    at = np.flatnonzero(codes >= 0)
+    own, held, column = codes[at], np.zeros(len(idf), bool), np.empty(len(idf), np.int64)
+    held[own] = True
+    words = np.flatnonzero(held)
+    column[words] = np.arange(len(words))
+    # Counts of stretches of STRIDE words; a passage is WINDOW // STRIDE of them.
+    last = WINDOW // STRIDE
+    parts = np.bincount(at // STRIDE * len(words) + column[own], minlength=(n + last - 1) * len(words)).reshape(n + last - 1, len(words))
+    counts = sum(parts[k : k + n] for k in range(last))
+    return words, LOGS[counts] * idf[words]
+
+
+def randomised_svd(rows: DataFrame, idf: np.ndarray, kind: type, rank: int = RANK) -> np.ndarray:
+    """An orthonormal basis (words x dimensions) of the latent space of all passages of ``codes`` rows, which hold integers of this kind.
 
-    The tasks hold the TF-IDF rows A; a step sends a thin matrix G and sums the tasks' A'(A G). After the last step the
-    Rayleigh quotient of the range orders its directions by singular value.
+    The tasks hold the TF-IDF rows A; a step sends a thin matrix G and sums the tasks' A'(A G), by word and in the order of
+    the tasks. The last product orders its own range by singular value (Nystrom's method), so it takes no further pass.
     """
     sc, size = rows.sparkSession.sparkContext, len(idf)
     width = min(rank + SPARE, size)
     known = sc.broadcast(idf)
+    tasks = max(STEP_TASKS, 2 * sc.defaultParallelism)
+    dealt = rows.coalesce(tasks)
 
     def gram(g: np.ndarray) -> np.ndarray:
         sent = sc.broadcast(g)
@@ -172,23 +194,43 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.nda
             idf, g = known.value, sent.value
             out = np.zeros_like(g)
             for batch in batches:
-                for codes in batch.column(0):
-                    at, weight = tfidf(codes.values.to_numpy(zero_copy_only=False), idf)
-                    out[at] += np.outer(weight, weight @ g[at])
+                for value in batch.column(0):
+                    codes = np.frombuffer(value.as_buffer(), kind)
+                    starts = passages(codes)
+                    for k in range(0, len(starts), PASSAGES):
+                        block = starts[k : k + PASSAGES]
+                        words, weights = weighted(codes[block[0] : block[-1] + WINDOW], len(block), idf)
+                        weights /= np.maximum(1e-300, np.sqrt(np.einsum("ij,ij->i", weights, weights)))[:, None]
+                        out[words] += weights.T @ (weights @ g.take(words, axis=0))
             used = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(out[used]), pa.list_(pa.float64()))], names=["word", "row"])
+            part = pa.array(np.full(len(used), TaskContext.get().partitionId()))
+            yield pa.RecordBatch.from_arrays([pa.array(used), part, pa.array(list(out[used]), pa.list_(pa.float64()))], names=["word", "part", "row"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for word, row in zip(batch.column(0).to_pylist(), batch.column(2).flatten().to_numpy().reshape(-1, width), strict=True):
+                    out[word] = out[word] + row if word in out else row.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], names=["word", "row"])
 
+        parts = dealt.mapInArrow(run, "word bigint, part bigint, row array<double>")
         total = np.zeros_like(g)
-        for r in rows.mapInArrow(run, "word bigint, row array<double>").toLocalIterator():  # words of the block at most, once for each task
-            total[r["word"]] += r["row"]
+        for r in parts.repartition(8, "word").sortWithinPartitions("word", "part").mapInArrow(add, "word bigint, row array<double>").collect():  # words of the block at most
+            total[r["word"]] = r["row"]
         sent.unpersist()
         return total
 
     q = np.random.default_rng(3).normal(size=(size, width))
-    for _ in range(STEPS):
+    for _ in range(STEPS - 1):
         q, _ = np.linalg.qr(gram(q))
-    values, turn = np.linalg.eigh(q.T @ gram(q))
-    return q @ turn[:, np.argsort(-values)[: min(rank, size)]]
+    q, _ = np.linalg.qr(q)
+    y = gram(q)
+    core = q.T @ y
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    some = values > max(1e-12 * values.max(), 1e-300)
+    if not some.any():  # every passage holds every word, which then weighs nothing
+        return q[:, :rank]
+    return np.linalg.svd(y @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)[0][:, :rank]
 
 
 def common(a: list[int], b: list[int]) -> tuple[int, int]:
@@ -213,13 +255,7 @@ def common(a: list[int], b: list[int]) -> tuple[int, int]:
 
 def fold(codes: np.ndarray, n: int, index: Index) -> np.ndarray:
     """The first n passages of these words in the latent space, as rows of length one, or of zeros if no word is known."""
-    at = np.flatnonzero(codes >= 0)
-    words, local = np.unique(codes[at], return_inverse=True)
-    # Counts of stretches of STRIDE words; a passage is WINDOW // STRIDE of them.
-    last = WINDOW // STRIDE
-    parts = np.bincount(at // STRIDE * len(words) + local, minlength=(n + last - 1) * len(words)).reshape(n + last - 1, len(words))
-    counts = sum(parts[k : k + n] for k in range(last))
-    weights = LOGS[counts] * index.idf[words]
+    words, weights = weighted(codes, n, index.idf)
     vectors = weights @ index.basis[words]
     return vectors / np.maximum(1e-9 * np.maximum(1e-9, np.linalg.norm(weights, axis=1)), np.linalg.norm(vectors, axis=1))[:, None]
 
@@ -232,48 +268,72 @@ class Searcher:
         self.sizes = np.array([len(c) for c in index.codes], np.int64)
         self.longest = int(self.sizes.max(initial=0))
         self.all = self.listed(np.arange(self.n))
-        self.seen = np.zeros(len(index.place), bool)
+        self.seen = np.zeros(len(index.place), np.int32)
+        self.column = np.full(len(index.place) + 1, -1, np.int64)  # the last one is for unknown words
 
     def listed(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words of these items on end, where each item starts, and its words' number."""
         sizes = self.sizes[items]
         return np.concatenate([self.x.codes[k] for k in items.tolist()] or [np.zeros(0, np.int64)]), np.cumsum(sizes) - sizes, sizes
 
-    def coverable(self, codes: np.ndarray, items: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Whether enough of an item's words occur among these for a cover of ``COVER``; no common subsequence is longer."""
-        words, starts, sizes = items
-        self.seen[codes] = True
-        held = np.add.reduceat(self.seen[words], starts, dtype=np.int64)
-        self.seen[codes] = False
-        return held / sizes >= COVER
+    def coverable(self, codes: np.ndarray) -> np.ndarray:
+        """Items of which enough words occur among these for a cover of ``COVER``; no common subsequence is longer."""
+        words, starts, sizes = self.all
+        self.seen[codes] = 1
+        held = np.add.reduceat(self.seen.take(words), starts)
+        self.seen[codes] = 0
+        return np.flatnonzero(held / sizes >= COVER)
+
+    def coverable_around(self, codes: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The same for each of the passages (of following starts) and items, of the words around the passage.
+
+        A subsequence is looked for within the item's length from the passage; here that is the longest of them, in stretches.
+        """
+        words, starts, sizes = self.listed(near)
+        reach, n = -(-int(sizes.max()) // STRIDE), len(at)
+        known = np.zeros(len(self.seen), bool)
+        known[words] = True
+        distinct = np.flatnonzero(known)
+        self.column[distinct] = np.arange(len(distinct))
+        first = int(at[0]) // STRIDE - reach  # stretch of the table's first row; may be before the text
+        columns, wanted = self.column[codes[max(0, first * STRIDE) : int(at[-1]) + WINDOW + reach * STRIDE]], self.column[words]
+        self.column[distinct] = -1
+        place = np.flatnonzero(columns >= 0)
+        across = 2 * reach + WINDOW // STRIDE
+        held = np.zeros((n + across, len(distinct)), np.int32)
+        held[place // STRIDE + max(0, -first) + 1, columns[place]] = 1
+        np.cumsum(held, axis=0, out=held)  # stretches before each row's that hold the word
+        inside = (held[across:] > held[:n]).take(wanted, axis=1)
+        return np.add.reduceat(inside.view(np.int8), starts, axis=1, dtype=np.int32) / sizes >= COVER
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """Start of a passage, item and cosine, of every passage and item with a cosine of ``COSINE`` and a chance of the cover.
 
         Passages are folded and multiplied with the items in blocks of ``PASSAGES``.
         """
-        x = self.x
-        near = np.flatnonzero(self.coverable(codes[codes >= 0], self.all))
-        if not len(near):
-            return
-        items = self.listed(near)
-        latent, starts = x.latent[near].T, passages(codes)
+        x, starts = self.x, passages(codes)
         for k in range(0, len(starts), PASSAGES):
             block = starts[k : k + PASSAGES]
-            vectors = fold(codes[block[0] : block[-1] + WINDOW], len(block), x)
-            cosines = vectors @ latent
-            close = cosines >= COSINE
-            for row in np.flatnonzero(close.any(axis=1)).tolist():
-                at = int(block[row])
-                around = codes[max(0, at - self.longest) : at + WINDOW + self.longest]
-                for c in np.flatnonzero(close[row] & self.coverable(around[around >= 0], items)).tolist():
-                    yield at, int(near[c]), float(cosines[row, c])
+            around = codes[max(0, block[0] - self.longest) : block[-1] + WINDOW + self.longest]
+            near = self.coverable(around[around >= 0])
+            if not len(near):
+                continue
+            likely = self.coverable_around(codes, block, near)
+            rows = np.flatnonzero(likely.any(axis=1))
+            if not len(rows):
+                continue
+            block, likely = block[rows[0] : rows[-1] + 1], likely[rows[0] : rows[-1] + 1]
+            cosines = fold(codes[block[0] : block[-1] + WINDOW], len(block), x) @ x.latent[near].T
+            for row, c in np.argwhere(likely & (cosines >= COSINE)).tolist():
+                yield int(block[row]), int(near[c]), float(cosines[row, c])
 
     def leaks(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
         """Item, cosine, cover and cover of the answer of each leaked item; of an item of several texts, the best of them."""
+        return self.leaks_of(self.x.codes_of(text), self.x.short_in(text))
+
+    def leaks_of(self, codes: np.ndarray, whole: list[int | None]) -> list[tuple[int | None, float, float, float]]:
+        """The same, of a document's words and of the short items that it holds."""
         x = self.x
-        whole = {item for line in (text or "").split("\n") for item in x.short.get(tuple(words_of(line)), ())} if x.short else set()
-        codes = x.codes_of(text)
         if not self.n or not (codes >= 0).any():
             return [(item, 1.0, 1.0, 1.0) for item in whole]
         found: dict[int, tuple[float, float, float]] = {}
@@ -293,21 +353,24 @@ class Searcher:
 
 
 def build_index(docs: DataFrame, items: list[tuple[int | None, str | None]], text_col: str) -> Index:
+    return index_and_rows(docs.select(F.lit(None).cast("bigint").alias("id"), text_col), items, "id", text_col)[0]
+
+
+def index_and_rows(docs: DataFrame, items: list[tuple[int | None, str | None]], id_col: str, text_col: str) -> tuple[Index, DataFrame]:
+    """The index of these items, fitted on the whole corpus, and the corpus's documents as ``encoded`` gives them."""
     spark, index = docs.sparkSession, Index(items)
-    counts, total, drawn = passage_frequencies(docs, index, text_col)
+    counts, total, rows = encoded(docs, index, id_col, text_col)
     index.idf = np.log((total + 1.0) / (counts + 1.0)) ** 2  # squared: common words hardly count
     if len(index.codes):
-        own = [(c[k : k + WINDOW].tolist(),) for c in index.codes for k in passages(c).tolist()]
-        of_items = spark.createDataFrame(pa.table({"codes": pa.array([o[0] for o in own], pa.list_(pa.int32()))}))
-        gathered = materialize(drawn.union(of_items).coalesce(32), "rows")  # a bounded sample, read in each step
-        index.basis = randomised_svd(gathered, index.idf)
-        rows = []
+        of_items = spark.createDataFrame(pa.table({"codes": pa.array([c.astype(index.kind).tobytes() for c in index.codes], pa.binary())}))
+        index.basis = randomised_svd(rows.select("codes").union(of_items), index.idf, index.kind)
+        latent = []
         for codes in index.codes:
             at, value = tfidf(codes, index.idf)
-            rows.append(value @ index.basis[at])
-        index.latent = np.array(rows)
+            latent.append(value @ index.basis[at])
+        index.latent = np.array(latent)
         index.latent /= np.maximum(1e-9, np.linalg.norm(index.latent, axis=1))[:, None]
-    return index
+    return index, rows
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
@@ -322,16 +385,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = None
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
-        index = build_index(docs, [tuple(r) for r in part.orderBy("item", "text").collect()], text_col)
+        index, rows = index_and_rows(docs, [tuple(r) for r in part.orderBy("item", "text").collect()], id_col, text_col)
         shipped = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(shipped.value)
             for batch in batches:
-                rows = [(who, *leak) for who, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for leak in searcher.leaks(text.as_py())]
+                docs = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)
+                rows = [(who, *leak) for who, codes, short in docs for leak in searcher.leaks_of(np.frombuffer(codes.as_buffer(), searcher.x.kind), short)]
                 types = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=[id_col, "item_id", "cosine", "cover", "answer_cover"])
 
-        found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, item_id bigint, cosine double, cover double, answer_cover double")
+        found = rows.mapInArrow(run, f"`{id_col}` {id_type}, item_id bigint, cosine double, cover double, answer_cover double")
         out = found if out is None else out.unionByName(found)
     return out

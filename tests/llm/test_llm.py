@@ -216,6 +216,26 @@ def test_candidates_are_those_of_the_cosine(spark, documents):
     assert len({d for d, _ in true if d >= 60}) >= 60
 
 
+def test_latent_space_is_of_all_passages(spark):
+    """Of 104 words the range is whole, so the basis is that of the 96 greatest singular values over every passage."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(104)]
+    items = [(k, " ".join(words[k * 26 : k * 26 + 26])) for k in range(4)]
+    texts = [" ".join(rng.choices([*words, *words[:20], "other"], k=rng.randrange(1, 90))) for _ in range(2000)]
+    texts += [" ".join(["other"] * 30 + rng.choices(words[-2:], k=1) * 3 + ["other"] * 3000 + words[50:54]) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    index = decontam.build_index(docs, items, "text")
+    rows = []
+    for codes in [*map(index.codes_of, texts), *index.codes]:
+        for at in decontam.passages(codes).tolist():
+            place, value = decontam.tfidf(codes[at : at + decontam.WINDOW], index.idf)
+            rows.append(np.zeros(104))
+            rows[-1][place] = value
+    exact = np.array(rows).T @ np.array(rows)
+    assert np.isclose(np.trace(index.basis.T @ exact @ index.basis), np.linalg.eigvalsh(exact)[-decontam.RANK :].sum(), rtol=1e-9)
+    assert decontam.build_index(docs.where("doc_id = 0"), [(1, texts[0])], "text").latent.shape == (1, min(96, len(set(texts[0].split()))))
+
+
 def test_copies_cut_at_either_end(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards brew a strong potion near old mills beside this quiet river"
     w = item.split()
