@@ -1,11 +1,13 @@
 """The pipeline's stages, each on its own input."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from strata.llm import bpe, queries
+from strata.llm import bpe, decontam, queries
 from tests.llm.test_llm import brute_components, brute_lines
 from tests.oracle import SF
 
@@ -78,3 +80,21 @@ def test_empty_documents_pass_through(spark, docs):
 
 def test_whole_run(spark):
     assert p.run(spark, SF).count() > 0
+
+
+def test_leaks_are_sought_in_a_space_of_all_passages(spark, tmp_path, monkeypatch):
+    rng, made, fit = random.Random(4), [], decontam.randomised_svd
+    words = [f"w{k}" for k in range(104)]
+    texts = [" ".join(rng.choices([*words, *words[:20], "other"], k=rng.randrange(1, 90))) for _ in range(2000)]
+    items = [(k, " ".join(words[k * 26 : k * 26 + 26])) for k in range(4)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontam, "randomised_svd", lambda *a: made.append((a[1], fit(*a))) or made[-1][1])
+    docs = spark.createDataFrame([*enumerate(texts), (None, "a. " + items[2][1].upper())], "doc_id bigint, text string")
+    assert p.drop_leaks(spark, docs, str(tmp_path)).where("doc_id is null").count() == 0
+    [(idf, basis)], index = made, decontam.Index(items)
+    exact = np.zeros((104, 104))
+    for codes in map(index.codes_of, [*texts, "a. " + items[2][1], *(t for _, t in items)]):
+        for at in decontam.passages(codes).tolist():
+            place, value = decontam.tfidf(codes[at : at + decontam.WINDOW], idf)
+            exact[np.ix_(place, place)] += np.outer(value, value)
+    assert np.isclose(np.trace(basis.T @ exact @ basis), np.linalg.eigvalsh(exact)[-decontam.RANK :].sum(), rtol=1e-9)
