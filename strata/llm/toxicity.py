@@ -8,6 +8,11 @@ with its label where rates are estimated, and its posterior is what the votes sa
 their weight (an observation's worth is divided by the sum of its correlations). A linear classifier over voter counts is
 trained on the posteriors of all rows of both samples, and scores whole texts.
 
+``train`` fits on two bounded samples, which the driver holds. ``train_on_all`` fits on every document: each counts with its
+label, where it has one, and once more as a document whose label isn't looked at. Its rows are the distinct combinations of
+firings, which stay in a table: each round of the label model, and each Newton step of the classifier, is a pass that sends
+sums of the voters' number squared at most.
+
 Cases: null and empty texts get the score of a text without any firing; very long texts are scored whole; repeated rows give
 repeated results; several labels of one id count as toxic if any is; null labels, null ids and unlabelled rows give no label;
 without labels the label model rests on the votes alone, without documents only the lexicon and the patterns vote; columns
@@ -17,7 +22,7 @@ to be kept that have an output's name are refused.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import zip_longest
 
 import numpy as np
@@ -48,6 +53,8 @@ MIN_SUPPORT = 3
 MIN_PRECISION = 0.9
 #: Lengths of word beginnings that may vote.
 BEGINNINGS = range(3, 8)
+#: Labels up to which they go to every executor (12 bytes each); with more, the texts are shuffled to them. Tasks of a pass over firings.
+MAX_SHIPPED, STEP_TASKS = 500_000, 8
 #: Correlation within a class from which on voters share their weight.
 TIED = 0.6
 #: Share of toxic documents that is assumed where no label says it.
@@ -76,7 +83,10 @@ class Votes:
 
     def counts(self, text: str | None) -> dict[int, int]:
         """Voter to number of firings; also the number of words at -1."""
-        words = Counter(WORD.findall((text or "").lower()))
+        return self.counts_of(Counter(WORD.findall((text or "").lower())), text)
+
+    def counts_of(self, words: Counter, text: str | None) -> dict[int, int]:
+        """The same, of a text whose words are counted already."""
         out: Counter = Counter()
         for word, k in words.items():
             fires = self.firing.get(word)
@@ -143,14 +153,19 @@ def suggest(rows: DataFrame, believed: set[int], sizes: dict[int, int]) -> list[
         yield flush()
 
     counted = rows.select("row", "label", "text").mapInArrow(run, "piece string, " + ", ".join(f"{k} bigint" for k in kinds))
-    summed = counted.groupBy("piece").agg(*(F.sum(k).alias(k) for k in kinds)).where(f"named1 >= {MIN_SUPPORT} or open1 >= {2 * MIN_SUPPORT}")
+    return best_pieces(counted, sizes, MIN_SUPPORT, 2 * MIN_SUPPORT)
+
+
+def best_pieces(counted: DataFrame, sizes: dict[int, int], named_support: int, open_support: int) -> list[str]:
+    """The voters that counts of ``piece, named1, named0, open1, open0`` suggest, with this support at least."""
+    summed = counted.groupBy("piece").agg(*(F.sum(k).alias(k) for k in counted.columns[1:])).where(f"named1 >= {named_support} or open1 >= {open_support}")
     n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     ranked: tuple[list, list] = ([], [])
-    for r in summed.toLocalIterator():  # pieces of a bounded sample's toxic rows
+    for r in summed.toLocalIterator():  # pieces of a share of the toxic rows at least
         rate1, rate0 = (r["named1"] + 0.1) / n1, (r["named0"] + 0.1) / n0
-        if r["named1"] >= MIN_SUPPORT and rate1 / (rate1 + rate0) >= MIN_PRECISION:
+        if r["named1"] >= named_support and rate1 / (rate1 + rate0) >= MIN_PRECISION:
             ranked[0].append((-rate1 * np.log(rate1 / rate0), len(r["piece"]), r["piece"]))
-        if r["open1"] >= 2 * MIN_SUPPORT and r["open1"] >= MIN_PRECISION * (r["open1"] + r["open0"]):
+        if r["open1"] >= open_support and r["open1"] >= MIN_PRECISION * (r["open1"] + r["open0"]):
             ranked[1].append((-r["open1"], len(r["piece"]), r["piece"]))
     # Both samples' voters in turn.
     return list(dict.fromkeys(p[2] for pair in zip_longest(*map(sorted, ranked)) for p in pair if p is not None))[:MAX_VOTERS]
@@ -159,7 +174,10 @@ def suggest(rows: DataFrame, believed: set[int], sizes: dict[int, int]) -> list[
 def within_class(x: np.ndarray, weight: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """Correlations of the voters in one class, rows weighing as they belong to it; near 0 for those that hardly fire in it."""
     e = ((x - rate) * np.sqrt(weight)[:, None]).astype(np.float32)
-    cov = e.T @ e
+    return correlations(e.T @ e)
+
+
+def correlations(cov: np.ndarray) -> np.ndarray:
     spread = np.sqrt(np.diag(cov) + 2.0)
     return cov / np.outer(spread, spread)
 
@@ -229,7 +247,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def feature(firings: int) -> float:
+def feature(firings: int | np.ndarray) -> float | np.ndarray:
     return 1.0 + np.log(firings)
 
 
@@ -265,12 +283,226 @@ def fit(rows: DataFrame, balance: float = BALANCE) -> Model:
     posterior, share = label_model(x > 0, known, balance=balance)
     # Voters that share a vote get equal parts of what it weighs.
     w, b = fit_linear(x * np.sqrt(share), posterior)
-    w = w * np.sqrt(share)
-    silent = ~x.any(axis=0)
-    w[silent] = np.median(w[~silent & (w > 0)]) if (~silent & (w > 0)).any() else 4.0  # never seen in the samples: as the others
+    return finished(votes, w * np.sqrt(share), b, ~x.any(axis=0))
+
+
+def finished(votes: Votes, w: np.ndarray, b: float, silent: np.ndarray) -> Model:
+    w[silent] = np.median(w[~silent & (w > 0)]) if (~silent & (w > 0)).any() else 4.0  # never seen in the rows: as the others
     return Model(votes, w, float(b))
 
 
+def train_on_all(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on all documents and on all labels that these documents have."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    known = known.where("label >= 0").withColumn("label", F.least("label", F.lit(1)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if known.count() <= MAX_SHIPPED:
+        rows = texts.join(F.broadcast(known), "id", "left").select("label", "text")
+    else:  # joined once, not by every pass; rows without an id would meet in one task
+        named = texts.where("id is not null").join(known, "id", "left").select("label", "text")
+        rows = materialize(named.union(texts.where("id is null").select(F.lit(None).cast("int"), "text")), "labelled")
+    seeds = [f"={w}" for w in LEXICON]
+    fired = firings_of_all(rows, seeds)
+    sizes = {r["label"]: r["n"] for r in fired.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if not sizes:
+        votes = Votes(seeds)
+        return Model(votes, np.full(len(votes), 4.0), -3.0)
+    named = sizes.get(1, 0) + sizes.get(0, 0)
+    balance = float(np.clip(sizes.get(1, 0) / named, 0.01, 0.5)) if named else BALANCE
+    of_seeds = label_model_of_all(fired, len(Votes(seeds)), balance, named=False)[0]
+    votes = Votes(list(dict.fromkeys([*seeds, *suggest_of_all(rows, seeds, of_seeds, sizes)])))
+    fired = firings_of_all(rows, votes.voters)
+    posterior, share, silent = label_model_of_all(fired, len(votes), balance)
+    w, b = fit_linear_of_all(fired, posterior, share)
+    return finished(votes, w * np.sqrt(share), b, silent)
+
+
+def firings_of_all(rows: DataFrame, voters: list[str]) -> DataFrame:
+    """``label, at, times, n``: how many rows have this label (or none) and these voters firing so often."""
+    shipped = rows.sparkSession.sparkContext.broadcast(voters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes, seen = Votes(shipped.value), Counter()
+
+        def flush() -> pa.RecordBatch:
+            label, at, times = zip(*seen, strict=True) if seen else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["label", "at", "times", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = votes.counts(text.as_py())
+                at = tuple(sorted(v for v in found if v >= 0))
+                seen[label, at, tuple(found[v] for v in at)] += 1
+                if len(seen) > MEMORY:
+                    yield flush()
+        yield flush()
+
+    counted = rows.select("label", "text").mapInArrow(run, "label int, at array<int>, times array<int>, n bigint")
+    return materialize(counted.groupBy("label", "at", "times").agg(F.sum("n").alias("n")), "firings")
+
+
+def suggest_of_all(rows: DataFrame, seeds: list[str], of_seeds: tuple[float, np.ndarray], sizes: dict[int | None, int]) -> list[str]:
+    """As ``suggest``, from all rows; what the seeds say of a row stands for its label. Support is the share that the samples need."""
+    shipped = rows.sparkSession.sparkContext.broadcast((seeds, of_seeds))
+    kinds = ("named1", "named0", "open1", "open0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters, (base, weights) = shipped.value
+        votes, places, of_word = Votes(voters), {}, {}
+        held, counts, size = [[] for _ in kinds], np.zeros((len(kinds), 0), np.int64), 0
+
+        def count() -> None:
+            nonlocal counts, size
+            counts = np.pad(counts, ((0, 0), (0, len(places) - counts.shape[1])))
+            for k, own in enumerate(held):
+                counts[k] += np.bincount(np.array(own, np.int64), minlength=len(places))
+                own.clear()
+            size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal counts
+            count()
+            out = pa.RecordBatch.from_arrays([pa.array(list(places), pa.string()), *map(pa.array, counts)], names=["piece", *kinds])
+            places.clear()
+            of_word.clear()
+            counts = np.zeros((len(kinds), 0), np.int64)
+            return out
+
+        for batch in batches:
+            for label, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py()
+                words = Counter(WORD.findall((text or "").lower()))
+                found: set[int] = set()
+                for w in words:
+                    own = of_word.get(w)
+                    if own is None:
+                        own = of_word[w] = tuple(places.setdefault(p, len(places)) for p in pieces(w))
+                    found.update(own)
+                believed = base + sum(weights[v] for v in votes.counts_of(words, text) if v >= 0) > 0
+                held[2 if believed else 3].extend(found)
+                if label is not None:
+                    held[0 if label else 1].extend(found)
+                size += len(found)
+                if size > 1 << 18:
+                    count()
+                    if len(places) > MEMORY:
+                        yield flush()
+        yield flush()
+
+    counted = rows.select("label", "text").mapInArrow(run, "piece string, " + ", ".join(f"{k} bigint" for k in kinds))
+    total = sum(sizes.values())
+    return best_pieces(counted, sizes, max(MIN_SUPPORT, sizes.get(1, 0) * MIN_SUPPORT // DOCS_PER_CLASS), 2 * max(MIN_SUPPORT, total * MIN_SUPPORT // DOCS_UNLABELLED))
+
+
+def summed(fired: DataFrame, width: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list]) -> tuple[np.ndarray, float]:
+    """What ``work`` finds in the rows (with a label of 1, with one of 0, all, features), all numbers on end: sums, but of the last the most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, most = None, 0.0
+        for batch in batches:
+            label, at, times, n = batch.columns
+            label, n = label.fill_null(-1).to_numpy(), n.to_numpy().astype(np.float64)
+            x = np.zeros((len(n), width))
+            x[np.repeat(np.arange(len(n)), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = feature(times.flatten().to_numpy())
+            *sums, last = work(np.where(label == 1, n, 0), np.where(label == 0, n, 0), n, x)
+            part = np.concatenate([np.ravel(v) for v in sums])
+            total, most = part if total is None else total + part, max(most, float(last))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(total, most).tobytes()], pa.binary())], names=["sums"])
+
+    parts = [np.frombuffer(r["sums"]) for r in fired.select("label", "at", "times", "n").coalesce(STEP_TASKS).mapInArrow(run, "sums binary").collect()]  # a row a task
+    return sum(v[:-1] for v in parts), max(v[-1] for v in parts)
+
+
+def told(x: np.ndarray, model: tuple[float, np.ndarray]) -> np.ndarray:
+    """Posteriors by the votes, of features of their firings."""
+    return 1 / (1 + np.exp(-np.clip(model[0] + (x > 0) @ model[1], -30, 30)))
+
+
+def label_model_of_all(fired: DataFrame, m: int, balance: float, named: bool = True, rounds: int = 40) -> tuple[tuple[float, np.ndarray], np.ndarray, np.ndarray]:
+    """As ``label_model``: the log odds of a row without votes and what each vote adds to them, the shares, and who never fires.
+
+    Every row counts as one without a label, and with ``named`` those with a label once more with it.
+    """
+    model, last, prior, share = None, None, balance, np.ones(m)
+    for step in range(rounds):
+        tied = step % 5 == 1
+
+        def work(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray, x: np.ndarray, model=model, last=last, tied=tied) -> list:
+            votes = (x > 0).astype(np.float64)
+            post = told(x, model) if model else np.where(votes.any(axis=1), 0.7, 0.05)
+            toxic, clean = n * post + named * ones, n * (1 - post) + named * zeros
+            squares = [votes.T @ (toxic[:, None] * votes), votes.T @ (clean[:, None] * votes)] if tied else []
+            return [toxic @ votes, clean @ votes, toxic.sum(), clean.sum(), n @ post, n.sum(), *squares, np.abs(post - told(x, last)).max(initial=0) if last else 1.0]
+
+        sums, change = summed(fired, m, work)
+        if step > 11 and change < 1e-4:
+            break
+        of1, of0, (n1, n0, post, n) = sums[:m], sums[m : 2 * m], sums[2 * m : 2 * m + 4]
+        rate1 = np.clip((of1 + 0.2) / (n1 + 1), 1e-4, 0.999)
+        rate0 = np.clip((of0 + 0.02) / (n0 + 1), 1e-5, 0.999)
+        if tied:
+            two = sums[2 * m + 4 :].reshape(2, m, m)
+            ties = np.maximum(*(correlations(s - np.outer(v, r) - np.outer(r, v) + k * np.outer(r, r)) for s, v, r, k in zip(two, (of1, of0), (rate1, rate0), (n1, n0), strict=True)))
+            np.fill_diagonal(ties, 1.0)
+            share = 1.0 / np.where(ties > TIED, ties, 0.0).sum(axis=1)
+        prior = float(np.clip(post / n, 0.01, 0.9))
+        none = share * np.log((1 - rate1) / (1 - rate0))
+        model, last = (float(np.log(prior / (1 - prior)) + none.sum()), share * np.log(rate1 / rate0) - none), model
+    return model, share, of1 + of0 == 0
+
+
+def fit_linear_of_all(fired: DataFrame, posterior: tuple[float, np.ndarray], share: np.ndarray, l2: float = 1e-4, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """As ``fit_linear``, to its minimum: Newton steps, each to the least of a quadratic under the same bounds."""
+    m = len(share)
+    penalty = np.append(np.full(m, l2), 0.0)
+
+    def at(p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def work(ones: np.ndarray, zeros: np.ndarray, n: np.ndarray, x: np.ndarray) -> list:
+            size, target = n + ones + zeros, told(x, posterior)
+            x = np.hstack([x * np.sqrt(share), np.ones((len(n), 1))])
+            z = x @ p
+            guess = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            return [size.sum(), size @ (np.logaddexp(0, z) - target * z), x.T @ (size * (guess - target)), x.T @ ((size * guess * (1 - guess))[:, None] * x), 0.0]
+
+        sums, _ = summed(fired, m, work)
+        sums = sums[1:] / sums[0]
+        return float(sums[0] + penalty @ p**2 / 2), sums[1 : m + 2] + penalty * p, sums[m + 2 :].reshape(m + 1, m + 1) + np.diag(penalty + 1e-9)
+
+    p = np.zeros(m + 1)
+    loss, slope, bend = at(p)
+    for _ in range(rounds):
+        d, part = least_quadratic(p, slope, bend) - p, 1.0
+        if np.abs(d).max() < 1e-6:
+            break
+        new = at(p + d)
+        while new[0] > loss and part > 1e-3:
+            part /= 2
+            new = at(p + part * d)
+        if new[0] > loss:
+            break
+        gain, p, (loss, slope, bend) = loss - new[0], p + part * d, new
+        if gain < 1e-10:
+            break
+    return p[:m], float(p[m])
+
+
+def least_quadratic(p: np.ndarray, slope: np.ndarray, bend: np.ndarray, rounds: int = 5000) -> np.ndarray:
+    """Where ``slope`` and ``bend`` at p make the least, no number but the last being below zero; accelerated steps with restarts."""
+    step = 1 / np.linalg.eigvalsh(bend)[-1]
+    u, v, k = p, p, 0
+    for _ in range(rounds):
+        new = v - step * (slope + bend @ (v - p))
+        new[:-1] = np.maximum(0, new[:-1])
+        if np.abs(new - u).max() < 1e-9 and k:
+            return new
+        k = 0 if (v - new) @ (new - u) > 0 else k + 1
+        u, v = new, new + k / (k + 3) * (new - u)
+    return u
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, score, predicted`` for every row's whole text, with the columns named in ``keep`` after the id."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.votes.voters, model.weights, model.bias))

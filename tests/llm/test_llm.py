@@ -331,6 +331,23 @@ def test_toxicity_cases(spark, odd, empty):
     assert toxicity.score(empty, model).collect() == []
 
 
+def test_toxicity_of_all_documents_cases(spark, odd, empty, monkeypatch):
+    labels = spark.createDataFrame([(0, None), (3, 0)], "doc_id bigint, toxic int")
+    bad = spark.createDataFrame([(1, "You are an IDIOT")], "doc_id bigint, text string")
+    for model in (toxicity.train_on_all(odd, labels), toxicity.train_on_all(odd, labels.limit(0)), toxicity.train_on_all(empty, labels)):
+        got = {r.doc_id: r for r in toxicity.score(odd, model).collect()}
+        assert all(0 <= r.score <= 1 for r in got.values()) and got[0].predicted == 0 and toxicity.score(bad, model).first().predicted == 1
+    rng = random.Random(2)
+    rows = [(k if k % 50 else None, " ".join([*rng.choices("abe dil nor stu gla".split(), k=9), *(["zorgblat"] * (k % 3 == 0))])) for k in range(300)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1, 300)] + [(1, None), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    shipped = toxicity.train_on_all(df, labels)
+    assert shipped.score("abe zorgblat") > 0.9 and shipped.score("abe dil") < 0.1
+    monkeypatch.setattr(toxicity, "MAX_SHIPPED", 0)  # the texts go to the labels
+    shuffled = toxicity.train_on_all(df, labels)
+    assert shuffled.votes.voters == shipped.votes.voters and np.allclose(shuffled.weights, shipped.weights, atol=1e-6) and np.isclose(shuffled.bias, shipped.bias, atol=1e-6)
+
+
 def test_label_model_shares_votes_of_tied_voters():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3

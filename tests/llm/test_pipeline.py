@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -98,3 +99,28 @@ def test_leaks_are_sought_in_a_space_of_all_passages(spark, tmp_path, monkeypatc
             place, value = decontam.tfidf(codes[at : at + decontam.WINDOW], idf)
             exact[np.ix_(place, place)] += np.outer(value, value)
     assert np.isclose(np.trace(basis.T @ exact @ basis), np.linalg.eigvalsh(exact)[-decontam.RANK :].sum(), rtol=1e-9)
+
+
+def test_the_classifier_is_fitted_on_all_documents(spark, tmp_path, monkeypatch):
+    """Its weights are the least over every document outside the held-out fold, with its label and without."""
+    rng, made, score = random.Random(5), [], p.toxicity.score
+    bad, plain = [f"{c}{c}zorg" for c in "abdefghikl"], [f"{a}{b}" for a in "mnprst" for b in "aeiou"]
+    texts = [" ".join([*rng.choices(plain, k=8), *(w for w in bad if rng.random() < (0.4 if k % 2 else 0.02))]) for k in range(8000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spark.createDataFrame([(k, k % 2) for k in range(8000)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(p.toxicity, "score", lambda docs, model, **kw: made.append(model) or score(docs, model, **kw))
+    assert p.drop_toxic(spark, docs, str(tmp_path)).columns == docs.columns
+    [model], own = made, [k for k in range(8000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert {f"={w}" for w in bad} <= set(model.votes.voters)
+    x = np.zeros((len(own), len(model.votes)))
+    for row, k in enumerate(own):
+        for v, n in model.votes.counts(texts[k]).items():
+            if v >= 0:
+                x[row, v] = p.toxicity.feature(n)
+    twice, known = np.vstack([x, x]), np.append([k % 2 for k in own], np.full(len(own), -1))
+    posterior, share = p.toxicity.label_model(twice > 0, known, balance=np.mean([k % 2 for k in own]))
+    seen = x.any(axis=0)
+    w = (model.weights / np.sqrt(share))[seen]
+    error = (1 / (1 + np.exp(-model.bias - twice[:, seen] @ model.weights[seen])) - posterior) / len(twice)
+    slope = (twice * np.sqrt(share))[:, seen].T @ error + 1e-4 * w
+    assert abs(error.sum()) < 1e-5 and np.abs(slope[w > 0]).max() < 1e-5 and slope.min() > -1e-5
